@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowloom.llm.bestfit_pack import pack
 from flowloom.llm.common import table
 from flowloom.llm.minhash_dedup import near_duplicates
+from flowloom.llm.shard_tree import assign_shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op6_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_shard_tree": op2_shard_tree,
+    "op6_bestfit_pack": op6_bestfit_pack,
 }
 
 OP1_SQL = r"""
@@ -38,6 +52,31 @@ select s.doc_id, s.n n_shingles, coalesce(l.c, s.doc_id) component_id, s.doc_id
 from sizes s left join firsts f on s.h = f.h and s.n = f.n left join least_of l on l.node = f.rep
 """
 
+CRC_SQL = """step as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(n as bigint)) order by n) t
+  from range(256) r(n)),
+crc as (
+  select text, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: cast('0x' || h as bigint)),
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) crc
+  from (select distinct coalesce(text, '') text from documents), step)"""
+
+OP2_SQL = f"""
+with {CRC_SQL},
+leaf as (
+  select rowid_, doc_id, text, s, (cast('0x' || md5(coalesce(cast(doc_id as varchar), 'null') || ':' || s)[1:12] as bigint) + 0.5) / 281474976710656.0 u
+  from (select row_number() over () rowid_, * from documents), range(41) t(s)),
+best as (
+  select rowid_, any_value(doc_id) doc_id, any_value(text) text,
+    arg_min(s, -ln(u)) filter (s < 40) shard, arg_min(s, -ln(u)) grown_shard
+  from leaf group by rowid_),
+sized as (
+  select doc_id, cast(strlen(coalesce(text, '')) + 16 as bigint) size, coalesce(text, '') text, cast(shard as int) shard, cast(grown_shard as int) grown_shard from best)
+select doc_id, size, crc.crc text_crc32, 'key' law, shard,
+  row_number() over (partition by shard order by doc_id nulls first, size) - 1 slot, grown_shard, shard // 20 region, shard // 4 rack
+from sized join crc using (text)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
+    "op2_shard_tree": OP2_SQL,
 }
