@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.bestfit_pack import pack
-from flowloom.llm.common import table
+from flowloom.llm.common import Scratch, table
 from flowloom.llm.minhash_dedup import near_duplicates
 from flowloom.llm.shard_tree import assign_shards
+from flowloom.llm.warc import archived_pages, read_warc, write_warc
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,18 @@ def op6_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    path = scratch.path()
+    write_warc(table(spark, sf_dir, "pages"), path, scratch=scratch)
+    return archived_pages(read_warc(spark, path, scratch), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_shard_tree": op2_shard_tree,
     "op6_bestfit_pack": op6_bestfit_pack,
+    "op8_warc": op8_warc,
 }
 
 OP1_SQL = r"""
