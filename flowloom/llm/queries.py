@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.llm.bestfit_pack import pack
 from flowloom.llm.common import Scratch, table
 from flowloom.llm.minhash_dedup import near_duplicates
 from flowloom.llm.shard_tree import assign_shards
+from flowloom.llm.topk_search import top_k
 from flowloom.llm.warc import archived_pages, read_warc, write_warc
 
 
@@ -21,6 +23,10 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +43,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_shard_tree": op2_shard_tree,
+    "op3_topk_search": op3_topk_search,
     "op6_bestfit_pack": op6_bestfit_pack,
     "op8_warc": op8_warc,
 }
@@ -85,7 +92,19 @@ select doc_id, size, crc.crc text_crc32, 'key' law, shard,
 from sized join crc using (text)
 """
 
+OP3_SQL = """
+with cells as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score
+  from cells q, cells c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op2_shard_tree": OP2_SQL,
+    "op3_topk_search": OP3_SQL,
 }
