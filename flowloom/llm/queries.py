@@ -12,6 +12,7 @@ from flowloom.llm.common import Scratch, table
 from flowloom.llm.minhash_dedup import near_duplicates
 from flowloom.llm.shard_tree import assign_shards
 from flowloom.llm.topk_search import top_k
+from flowloom.llm.toxicity import fit, score
 from flowloom.llm.warc import archived_pages, read_warc, write_warc
 
 
@@ -27,6 +28,11 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_shard_tree": op2_shard_tree,
     "op3_topk_search": op3_topk_search,
+    "op4_toxicity": op4_toxicity,
     "op6_bestfit_pack": op6_bestfit_pack,
     "op8_warc": op8_warc,
 }

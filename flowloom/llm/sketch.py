@@ -57,6 +57,33 @@ def _pieces(data: bytes):
     yield data[at:]
 
 
+_BREAK = np.ones(256, bool)
+_BREAK[[*b"0123456789", *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def pieces_of(text: str | None) -> list[bytes]:
+    """The UTF-8 bytes of a text in pieces of about PIECE bytes, cut at white space."""
+    return list(_pieces(text.encode("utf-8", "replace"))) if text else []
+
+
+def prefix_hashes(data: bytes, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the words of data, and for each length those of the first bytes of longer words.
+
+    Here words are runs of ASCII letters and digits and of non-ASCII characters.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    word = np.concatenate(([False], ~_BREAK[raw], [False]))
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _power(len(raw))
+    total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[raw] * up[: len(raw)])))
+    out = [mix((total[ends] - total[starts]) * down[starts] + U(1))]
+    for n in lengths:
+        at = starts[ends - starts > n]
+        out.append(mix((total[at + n] - total[at]) * down[at] + U(n)))
+    return out
+
+
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     """For each text the hashes of its words, in order.
 
