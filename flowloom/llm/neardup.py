@@ -21,14 +21,17 @@ class Similarity:
     """Texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles.
 
     coordinates / rows bands: at a similarity of 0.75, 32 bands of 4 miss a pair with
-    a probability of 5e-6. Buckets of at most `small` texts have all their pairs
-    tested; larger ones go through an exact prefix filter, so no bucket is capped.
+    a probability of 5e-6, and the second sketch's 128 bands of 8 with one of 1e-6.
+    Buckets of at most `small` texts have all their pairs tested; larger ones go
+    through an exact prefix filter, so no bucket is capped.
     """
 
     width: int = 5
     percent: int = 75
     coordinates: int = 128
     rows: int = 4
+    coordinates_2: int = 1024
+    rows_2: int = 8
     small: int = 32
 
 
@@ -62,17 +65,34 @@ def _sets_of(texts: DataFrame, how: Similarity) -> DataFrame:
     return texts.mapInPandas(work, f"{schema}, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, units: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. units is read once; the sets of its texts in pairs are written."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.save(_sets_of(units.select("id", "text").join(asked, "id"), how))
+def _sets(ids: DataFrame, units: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
+    """The full sets (id, hashes, and other columns of ids) of the units in ids (id, ...), written: one read of all texts."""
+    return scratch.save(_sets_of(units.select("id", "text").join(ids, "id"), how))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     alike = F.lit(100) * both >= F.lit(how.percent) * (F.size("ha") + F.size("hb") - both)
-    out = scratch.save(pairs.join(right, "b").join(left, "a").where(alike).select("a", "b").distinct())
-    scratch.drop(sets)
-    return out
+    return scratch.save(pairs.join(right, "b").join(left, "a").where(alike).select("a", "b").distinct())
+
+
+def _rebanded(sets: DataFrame, how: Similarity) -> DataFrame:
+    """(id, n, component, key) for each band of a second, larger sketch of sets."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for at in range(0, len(x), 1000):
+                part = x.iloc[at : at + 1000]
+                keys = band_keys(sketches([h.view(np.uint64) for h in part["hashes"]], how.coordinates_2, seed=2), how.rows_2)
+                out = part[["id", "n", "component"]].copy()
+                out["keys"] = list(keys)
+                yield out
+
+    banded = sets.select("id", "n", "component", "hashes").mapInPandas(work, "id long, n long, component long, keys array<long>")
+    return banded.select("id", "n", "component", F.explode("keys").alias("key"))
 
 
 def _could(how: Similarity, a: str = "na", b: str = "nb"):
@@ -92,72 +112,91 @@ def linked(units: DataFrame, scratch: Scratch, how: Similarity = Similarity()) -
     2. Each set is joined to the smallest id of one of its buckets, the one it
        meets in most bands, and the pair verified: this gathers large groups of
        copies with one test a member.
-    3. Of buckets that still hold more than one component, pairs between
+    3. Sets in buckets that still hold more than one component are banded again by
+       a larger sketch with longer bands, which parts texts that only share a
+       passage. Of its buckets with more than one component, pairs between
        components are verified: all of them in small buckets, and in large ones
-       those that share a rare shingle (see _rare_pairs). No link can be lost
-       here: within one component a further link changes nothing.
+       those that share a rare shingle (see _rare_pairs). Within one component a
+       further link changes nothing.
     """
     sk = scratch.save(sketched(units, how))
     sets = scratch.save(
         sk.where("fp is not null and id is not null").groupBy("fp", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     )
     keyed = sets.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    heads = scratch.save(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("held")).where("held > 1"))
+    heads = scratch.save(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("held")).where("held > 1").drop("held"))
     met = (
         keyed.join(heads, "key").where("id <> head.id").where(_could(how, "n", "head.n"))
         .groupBy("id", F.col("head.id").alias("head")).agg(F.count("*").alias("met"))
     )
     first = scratch.save(met.groupBy("id").agg(F.max(F.struct("met", (-F.col("head")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), F.col("id").alias("b")))
-    good = _verified(first, units, how, scratch)
+    full = _sets(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct(), units, how, scratch)
+    good = _verified(first, full, how, scratch)
+    scratch.drop(full)
     label = components(good, scratch)
 
-    in_bucket = (
-        keyed.join(heads.select("key", "held"), "key")
-        .join(label.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", "n", "held", F.coalesce("component", "id").alias("component"))
-    )
-    in_bucket = scratch.save(in_bucket)
-    mixed = scratch.save(in_bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+    in_bucket = scratch.save(_labelled(keyed.join(heads.select("key"), "key"), label))
+    mixed = scratch.save(_mixed(in_bucket))
+    again = in_bucket.join(mixed.select("key"), "key").select("id", "n", "component").distinct()
+    full = _sets(again, units, how, scratch)
+    scratch.drop(in_bucket, mixed, heads)
+    in_bucket = scratch.save(_rebanded(full, how))
+    mixed = scratch.save(_mixed(in_bucket))
     open_ = scratch.save(in_bucket.join(mixed, "key"))
     side = lambda x: open_.where(F.col("held") <= how.small).select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where("a < b and ca <> cb").where(_could(how)).select("a", "b").distinct()
-    crowd = scratch.save(open_.where(F.col("held") > how.small).select("id", "n", "component").distinct())
+    crowd = open_.where(F.col("held") > how.small).select("id").distinct()
+    crowd = scratch.save(full.join(crowd, "id"))
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_rare_pairs(crowd, units, how, scratch)).distinct()
-    pairs = scratch.save(pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    scratch.drop(in_bucket, mixed, open_, crowd, first, heads)
-    more = _verified(pairs, units, how, scratch)
+        pairs = pairs.unionByName(_rare_pairs(crowd, how, scratch)).distinct()
+    pairs = scratch.save(pairs)
+    more = _verified(pairs, full, how, scratch)
     final = label if more.isEmpty() else components(good.unionByName(more), scratch)
     grouped = scratch.save(
         sets.select("fp", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("component"))
     )
     sized = scratch.save(sk.select("id", "n", "fp"))
-    scratch.drop(sk, sets, good, more, pairs)
+    scratch.drop(sk, sets, good, more, pairs, full, in_bucket, mixed, open_, crowd, first)
     return sized, grouped
 
 
-def _rare_pairs(crowd: DataFrame, units: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
-    """Pairs (a < b) between components of crowd (id, n, component) that share one of their rarest shingles.
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (id, ...) with the component that label (node, component) has for them, themselves where it has none."""
+    joined = rows.join(label.withColumnRenamed("node", "id"), "id", "left")
+    return joined.withColumn("component", F.coalesce("component", "id"))
+
+
+def _mixed(in_bucket: DataFrame) -> DataFrame:
+    """(key, held) of the buckets that hold more than one component."""
+    stats = in_bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"))
+    return stats.where("lo < hi").select("key", "held")
+
+
+def _rare_pairs(crowd: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
+    """Pairs (a < b) between components of crowd (id, n, component, hashes) that share one of their rarest shingles.
 
     Prefix filter: with the shingles of every set in one order, two sets that are
     similar enough share one of the first n - ceil(percent * n / 100) + 1. Taking
-    them from the rarest on leaves out what a crowd has in common. Shingles seen in
-    one component only are dropped, and for the others the members outside the
-    shingle's most frequent component are joined with all its members.
+    them from the rarest on leaves out what a crowd has in common. What comes after
+    the first shared shingle bounds the overlap, which rules out most pairs that
+    share one passage (positional filter). Shingles seen in one component only are
+    dropped, and for the others the members outside the shingle's most frequent
+    component are joined with all its members.
     """
-    sets = _sets_of(units.select("id", "text").join(crowd, "id"), how)
-    each = scratch.save(sets.select("id", "n", "component", F.explode("hashes").alias("shingle")))
+    each = scratch.save(crowd.select("id", "n", "component", F.explode("hashes").alias("shingle")))
     often = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("often")))
     ranked = each.join(often, "shingle").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"))
     first = F.expr(f"slice(order, 1, cast(n - ceil({how.percent} * n / 100) + 1 as int))")
-    prefix = scratch.save(ranked.select("id", "n", "component", F.explode(first).alias("x")).select("id", "n", "component", "x.shingle"))
+    prefix = ranked.select("id", "n", "component", F.posexplode(first).alias("at", "x"))
+    prefix = scratch.save(prefix.select("id", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "x.shingle"))
     scratch.drop(each, often)
     held = prefix.groupBy("shingle", "component").agg(F.count("*").alias("held")).groupBy("shingle")
     hub = scratch.save(held.agg(F.max_by("component", F.struct("held", "component")).alias("hub"), F.count("*").alias("kinds")).where("kinds > 1").select("shingle", "hub"))
     mixed = scratch.save(prefix.join(hub, "shingle"))
-    out = mixed.where("component <> hub").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    other = mixed.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    found = out.join(other, "shingle").where("ca <> cb").where(_could(how)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = scratch.save(found)
+    side = lambda x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"), F.col("component").alias(f"c{x}")]
+    out, other = mixed.where("component <> hub").select("shingle", *side("a")), mixed.select("shingle", *side("b"))
+    enough = F.lit(100 + how.percent) * F.least("ra", "rb") >= F.lit(how.percent) * (F.col("na") + F.col("nb"))
+    found = out.join(other, "shingle").where("ca <> cb").where(_could(how)).where(enough)
+    found = scratch.save(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     scratch.drop(prefix, hub, mixed)
     return found
