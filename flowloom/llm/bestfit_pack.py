@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,23 +17,58 @@ from flowloom.llm.common import Scratch
 
 CAPACITY = 2048
 GROUP = 100_000
-CACHE_LIMIT = 300_000
-_SPLIT = re.compile(r"[ \n]+")
+CACHE_LIMIT, GROUP_PARTS = 1_200_000, 200_000
+#: ASCII and Latin-1 letters in UTF-8.
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 class _Encoded(dict):
-    """The ids of what stands between blanks and line ends, as little-endian bytes. No token of this tokenizer spans white space."""
+    """The ids of the parts of texts between ASCII white space, as little-endian bytes.
+
+    No token of this tokenizer spans white space, and it ignores case, so parts are
+    kept with A-Z in lower case. Points and commas behind a letter are tokens of
+    their own, apart from the word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_LIMIT:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def learn(self, parts: Iterable[bytes]) -> None:
+        new: dict[bytes, bytes] = {}
+        for part in parts:
+            word = part.rstrip(b".,")
+            if word and word[-1:].isalpha():
+                new[part] = word
+            else:
+                new[part] = part
+        if len(self) + len(new) > CACHE_LIMIT:
             self.clear()
-        value = self[part] = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return value
+        asked = [x for x in {*new.values(), *(p[len(w) :] for p, w in new.items())} if x and x not in self]
+        plain = [x for x in asked if _PLAIN(x)]
+        for i in range(0, len(plain), 10_000):
+            # one call for many words: a word of letters alone ends at the first token that ends a word
+            some = plain[i : i + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            assert len(ends) == len(some), "a word of letters is one word to the tokenizer"
+            data, at = ids.tobytes(), 0
+            for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                self[part] = data[at:end]
+                at = end
+        rest = [x for x in asked if x not in self]
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                self[part] = array("I", found.ids).tobytes()
+        for part, word in new.items():
+            if len(word) < len(part):
+                self[part] = self[word] + self[part[len(word) :]]
 
 
 _encoders: dict[str, _Encoded] = {}
@@ -40,7 +77,22 @@ _encoders: dict[str, _Encoded] = {}
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit numbers."""
     known = _encoders.get(path) or _encoders.setdefault(path, _Encoded(path))
-    return [b"".join(map(known.__getitem__, _SPLIT.split(x))) if x else b"" for x in texts]
+    out: list[bytes] = []
+    group: list[list[bytes]] = []
+    held = 0
+    for text in [*texts, ...]:
+        if text is ... or held > GROUP_PARTS:
+            parts = set().union(*group)
+            if not parts <= known.keys():
+                missing = parts - known.keys()
+                known.learn(missing if len(known) + len(missing) <= CACHE_LIMIT else parts)
+            out += [b"".join(map(known.__getitem__, x)) for x in group]
+            group, held = [], 0
+        if text is not ...:
+            data = (text or "").encode("utf-8", "replace")
+            group.append((data if b"<|" in data else data.lower()).split())  # special tokens are told from text by case
+            held += len(group[-1])
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

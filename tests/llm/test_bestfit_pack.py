@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from flowloom.llm.bestfit_pack import best_fit, encode, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "\n", "It's  a\tTEST\n\nof 3.14 <|endoftext|>x", "café ́x ΣΑΣ ΟΔΟΣ z\x0b\x1cy", "don't'll 12a3 ...!?", "日本語 テキスト", "🙂🙂 a🙂b", "İI ǅ ﬁ"]
+ODD = ["", " ", "\n", "It's  a\tTEST\n\nof 3.14 <|endoftext|>x", "<|ENDOFTEXT|> a", "café \u0301x ΣΑΣ ΟΔΟΣ z\x0b\x1cy", "don't'll 12a3 ...!?", "日本語 テキスト。", "🙂🙂 a🙂b", "İI ǅ ﬁ", "a.,.,b a.,", "é., É,", "A\u0301. Á, K K", "x\u0301. .\u0301"]
 
 
 @settings(max_examples=200, deadline=None)
