@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.bestfit_pack import pack
 from flowloom.llm.common import Scratch, table
+from flowloom.llm.decontaminate import contaminated
 from flowloom.llm.minhash_dedup import near_duplicates
 from flowloom.llm.shard_tree import assign_shards
 from flowloom.llm.topk_search import top_k
@@ -46,6 +47,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(read_warc(spark, path, scratch), scratch)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_shard_tree": op2_shard_tree,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_bestfit_pack": op6_bestfit_pack,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 OP1_SQL = r"""
