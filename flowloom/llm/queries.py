@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.bestfit_pack import pack
 from flowloom.llm.common import Scratch, table
 from flowloom.llm.decontaminate import contaminated
+from flowloom.llm.html_extract import extract
 from flowloom.llm.minhash_dedup import near_duplicates
 from flowloom.llm.shard_tree import assign_shards
 from flowloom.llm.topk_search import top_k
@@ -51,6 +52,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_shard_tree": op2_shard_tree,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bestfit_pack": op6_bestfit_pack,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_extract": op10_html_extract,
 }
 
 OP1_SQL = r"""
