@@ -67,7 +67,7 @@ def _sets_of(texts: DataFrame, how: Similarity) -> DataFrame:
 
 def _sets(ids: DataFrame, units: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
     """The full sets (id, hashes, and other columns of ids) of the units in ids (id, ...), written: one read of all texts."""
-    return scratch.save(_sets_of(units.select("id", "text").join(ids, "id"), how))
+    return scratch.save(_sets_of(units.select("id", "text").join(ids, "id").dropDuplicates(["id"]), how))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
@@ -123,47 +123,53 @@ def linked(units: DataFrame, scratch: Scratch, how: Similarity = Similarity()) -
     sets = scratch.save(
         sk.where("fp is not null and id is not null").groupBy("fp", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     )
-    keyed = sets.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    heads = scratch.save(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("held")).where("held > 1").drop("held"))
-    met = (
-        keyed.join(heads, "key").where("id <> head.id").where(_could(how, "n", "head.n"))
-        .groupBy("id", F.col("head.id").alias("head")).agg(F.count("*").alias("met"))
-    )
+    final = link_keyed(sets.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key")), units, scratch, how)
+    grouped = scratch.save(
+        sets.select("fp", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    )
+    sized = scratch.save(sk.select("id", "n", "fp"))
+    scratch.drop(sk, sets)
+    return sized, grouped
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (id, ...) with the component that label (node, component) has for them, themselves where it has none."""
+    joined = rows.join(label.withColumnRenamed("node", "id"), "id", "left")
+    return joined.withColumn("component", F.coalesce("component", "id"))
+
+
+def link_keyed(keyed: DataFrame, units: DataFrame, scratch: Scratch, how: Similarity) -> DataFrame:
+    """Steps 2 and 3 of linked: (node, component) for the sets that links join.
+
+    keyed has (id, n, key) for each band of each set, units (id, text) for all ids;
+    rows of either may be repeated.
+    """
+    heads = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last")).where("head.id < last").drop("last")
+    in_bucket = scratch.save(keyed.join(scratch.save(heads), "key").distinct())
+    met = in_bucket.where("id <> head.id").where(_could(how, "n", "head.n")).groupBy("id", F.col("head.id").alias("head")).agg(F.count("*").alias("met"))
     first = scratch.save(met.groupBy("id").agg(F.max(F.struct("met", (-F.col("head")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), F.col("id").alias("b")))
     full = _sets(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct(), units, how, scratch)
     good = _verified(first, full, how, scratch)
-    scratch.drop(full)
+    scratch.drop(full, first)
     label = components(good, scratch)
 
-    in_bucket = scratch.save(_labelled(keyed.join(heads.select("key"), "key"), label))
-    mixed = scratch.save(_mixed(in_bucket))
-    again = in_bucket.join(mixed.select("key"), "key").select("id", "n", "component").distinct()
-    full = _sets(again, units, how, scratch)
-    scratch.drop(in_bucket, mixed, heads)
+    labelled = scratch.save(_labelled(in_bucket.select("key", "id", "n"), label))
+    again = labelled.join(_mixed(labelled).select("key"), "key").select("id", "n", "component").distinct()
+    full = _sets(scratch.save(again), units, how, scratch)
+    scratch.drop(in_bucket, labelled)
     in_bucket = scratch.save(_rebanded(full, how))
     mixed = scratch.save(_mixed(in_bucket))
     open_ = scratch.save(in_bucket.join(mixed, "key"))
     side = lambda x: open_.where(F.col("held") <= how.small).select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where("a < b and ca <> cb").where(_could(how)).select("a", "b").distinct()
-    crowd = open_.where(F.col("held") > how.small).select("id").distinct()
-    crowd = scratch.save(full.join(crowd, "id"))
+    crowd = scratch.save(full.join(open_.where(F.col("held") > how.small).select("id").distinct(), "id"))
     if not crowd.isEmpty():
         pairs = pairs.unionByName(_rare_pairs(crowd, how, scratch)).distinct()
     pairs = scratch.save(pairs)
     more = _verified(pairs, full, how, scratch)
     final = label if more.isEmpty() else components(good.unionByName(more), scratch)
-    grouped = scratch.save(
-        sets.select("fp", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    )
-    sized = scratch.save(sk.select("id", "n", "fp"))
-    scratch.drop(sk, sets, good, more, pairs, full, in_bucket, mixed, open_, crowd, first)
-    return sized, grouped
-
-
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """rows (id, ...) with the component that label (node, component) has for them, themselves where it has none."""
-    joined = rows.join(label.withColumnRenamed("node", "id"), "id", "left")
-    return joined.withColumn("component", F.coalesce("component", "id"))
+    scratch.drop(good, more, pairs, full, in_bucket, mixed, open_, crowd)
+    return final
 
 
 def _mixed(in_bucket: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from flowloom.llm.common import Scratch, table
 from flowloom.llm.decontaminate import contaminated
 from flowloom.llm.html_extract import extract
 from flowloom.llm.minhash_dedup import near_duplicates
+from flowloom.llm.paragraph_dedup import repeated_passages
 from flowloom.llm.shard_tree import assign_shards
 from flowloom.llm.topk_search import top_k
 from flowloom.llm.toxicity import fit, score
@@ -41,6 +42,10 @@ def op6_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     path = scratch.path()
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk_search": op3_topk_search,
     "op4_toxicity": op4_toxicity,
     "op6_bestfit_pack": op6_bestfit_pack,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,

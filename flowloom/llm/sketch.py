@@ -172,7 +172,7 @@ def sketches(sets: list[np.ndarray], t: int, seed: int = 1) -> np.ndarray:
 def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each band of `rows` coordinates, distinct between bands."""
     n, t = sketch.shape
-    bands = sketch.reshape(n, t // rows, rows)
+    bands = sketch[:, : t // rows * rows].reshape(n, t // rows, rows)
     key = np.broadcast_to(mix(np.arange(1, t // rows + 1, dtype=U)), bands.shape[:2]).copy()
     for i in range(rows):
         key = mix(key * U(0x9E3779B97F4A7C15) + bands[:, :, i])
