@@ -14,6 +14,7 @@ from flowloom.llm.html_extract import extract
 from flowloom.llm.minhash_dedup import near_duplicates
 from flowloom.llm.paragraph_dedup import repeated_passages
 from flowloom.llm.shard_tree import assign_shards
+from flowloom.llm.suffix_dedup import repeats
 from flowloom.llm.topk_search import top_k
 from flowloom.llm.toxicity import fit, score
 from flowloom.llm.warc import archived_pages, read_warc, write_warc
@@ -36,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard_tree": op2_shard_tree,
     "op3_topk_search": op3_topk_search,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bestfit_pack": op6_bestfit_pack,
     "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_warc": op8_warc,
