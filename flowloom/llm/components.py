@@ -21,24 +21,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    before = _mark(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _settled(now):
+        both = scratch.save(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = scratch.save(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        scratch.drop(low, now)
+        large = scratch.save(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        scratch.drop(low, now, both)
         low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.save(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(low, large)
-        after = _mark(now)
-        if after == before:
-            break
-        before = after
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return scratch.save(out.unionByName(out.select(F.col("component").alias("node"), "component").distinct()))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Every edge leads from a node with no other edge to one that leads nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
