@@ -1,0 +1 @@
+"""Data-integration operators as lazy Spark DataFrames with named output flows."""
