@@ -7,7 +7,8 @@ import fnmatch
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators.extract import extract_json, extract_xml
@@ -17,14 +18,33 @@ from flowloom.operators.rows import Flows
 from flowloom.plans.schema import Field, converted
 
 
+#: Character sets that Spark decodes, and where ISO-8859-15 differs from ISO-8859-1.
+_KNOWN = ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
+_LATIN9 = ("\xa4\xa6\xa8\xb4\xb8\xbc\xbd\xbe", "€ŠšŽžŒœŸ")
+
+
+def _decoded(content: Column, encoding: str) -> Column:
+    """Bytes as text; character sets that Spark lacks are decoded in Arrow batches."""
+    if encoding.upper() in _KNOWN:
+        return F.decode(content, encoding)
+    if encoding.upper() == "ISO-8859-15":
+        return F.translate(F.decode(content, "ISO-8859-1"), *_LATIN9)
+
+    @F.pandas_udf("string")
+    def decode(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else bytes(b).decode(encoding, "replace"))
+
+    return decode(content)
+
+
 def _lines(spark: SparkSession, path: str, row_separator: str = "\n", encoding: str = "UTF-8", header: int = 0, footer: int = 0, limit: int | None = None, remove_empty: bool = True) -> DataFrame:
     """The lines of one file or of all below a path as `value`, without the first `header` and last `footer`, at most `limit`.
 
     Lines are only numbered where that is asked for.
     """
     lines = spark.read.option("lineSep", row_separator).text(path)
-    if encoding.upper().replace("-", "") != "UTF8":
-        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        lines = lines.withColumn("value", _decoded(F.col("value").cast("binary"), encoding))
     lines = lines.withColumn("value", F.regexp_replace("value", r"\r$", "")) if row_separator == "\n" else lines
     if header or footer or limit is not None:
         placed = lines.withColumn("__file", F.input_file_name()).withColumn("__id", F.monotonically_increasing_id())
@@ -49,8 +69,9 @@ def read_delimited(spark: SparkSession, path: str, fields: list[Field], separato
     missing ones empty. reject has rows with FIELD_COUNT, TYPE_CONVERSION or DATE_FORMAT.
     """
     if csv and not (header > 1 or footer or limit is not None):
-        raw = spark.read.csv(path, sep=separator[0], quote=quote, escape=escape, encoding=encoding, multiLine=True, header=header == 1, enforceSchema=True, schema=", ".join(f"`{f.name}` string" for f in fields), mode="PERMISSIVE")
-        values = {f.name: F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in fields}
+        latin9 = encoding.upper() == "ISO-8859-15"
+        raw = spark.read.csv(path, sep=separator[0], quote=quote, escape=escape, encoding="ISO-8859-1" if latin9 else encoding, multiLine=True, header=header == 1, enforceSchema=True, schema=", ".join(f"`{f.name}` string" for f in fields), mode="PERMISSIVE")
+        values = {f.name: F.coalesce(F.translate(f"`{f.name}`", *_LATIN9) if latin9 else F.col(f"`{f.name}`"), F.lit("")) for f in fields}
         count = F.lit(len(fields))
     else:
         raw = _lines(spark, path, row_separator, encoding, header, footer, limit, remove_empty)
@@ -99,7 +120,7 @@ def read_full_rows(spark: SparkSession, path: str, column: str = "line", random:
 def read_raw(spark: SparkSession, path: str, as_text: bool = True, encoding: str = "UTF-8", column: str = "content") -> DataFrame:
     """Each file as one row, as text or bytes."""
     content = F.col("content")
-    return spark.read.format("binaryFile").load(path).select((F.decode(content, encoding) if as_text else content).alias(column))
+    return spark.read.format("binaryFile").load(path).select((_decoded(content, encoding) if as_text else content).alias(column))
 
 
 def read_json(spark: SparkSession, path: str, mapping: dict[str, str], loop: str | None = None, encoding: str = "UTF-8") -> Flows:
