@@ -122,22 +122,24 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch | None = None) ->
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
     found = scratch.save(files.mapInPandas(work, FIELDS))
-    jump = found.select("path", F.col("at").alias("a"), F.col("after").alias("b"))
-    reached = scratch.save(jump.where("a = 0").select("path", "a").distinct())
+    # files by number, which stays small in memory where long equal paths would not
+    found_at = found.withColumn("file", F.xxhash64("path"))
+    jump = found_at.select("file", F.col("at").alias("a"), F.col("after").alias("b"))
+    reached = scratch.save(jump.where("a = 0").select("file", "a").distinct())
     jump = scratch.save(jump)
     count = reached.count()
     while True:
-        step = jump.join(reached, ["path", "a"]).select("path", F.col("b").alias("a"))
+        step = jump.join(reached, ["file", "a"]).select("file", F.col("b").alias("a"))
         more = scratch.save(reached.unionByName(step).distinct())
         scratch.drop(reached)
         reached, before, count = more, count, more.count()
         if count == before:
             break
-        onward = jump.select("path", F.col("a").alias("b"), F.col("b").alias("c"))
-        further = scratch.save(jump.join(onward, ["path", "b"]).select("path", "a", F.col("c").alias("b")))
+        onward = jump.select("file", F.col("a").alias("b"), F.col("b").alias("c"))
+        further = scratch.save(jump.join(onward, ["file", "b"]).select("file", "a", F.col("c").alias("b")))
         scratch.drop(jump)
         jump = further
-    return found.join(reached, (found["path"] == reached["path"]) & (found["at"] == reached["a"]), "left_semi")
+    return found_at.join(reached.withColumnRenamed("a", "at"), ["file", "at"], "left_semi").select(*found.columns)
 
 
 def archived_pages(records: DataFrame, scratch: Scratch) -> DataFrame:
