@@ -16,7 +16,7 @@ from flowloom.llm.sketch import _BASE, U, _power, mix
 LENGTH, GRAM = 400, 64
 PART = 1 << 20
 BATCH = 300_000
-KINDS = 400
+KINDS = 2000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -199,11 +199,18 @@ def _single_windows(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for anchor, ctx, copies, off, data in zip(x["anchor"], x["ctx"], x["copies"], x["off"], x["data"], strict=True):
-                h = _hashes(np.frombuffer(data, np.uint8), LENGTH)
-                starts = np.arange(len(h))
-                keep = (starts <= off) & (off - starts <= LENGTH - GRAM)
-                yield pd.DataFrame({"anchor": anchor, "ctx": ctx, "copies": copies, "a": starts[keep] - off, "window": h[keep].view(np.int64)})
+            for i in range(0, len(x), 500):
+                part, place, window = x.iloc[i : i + 500], [], []
+                for off, data in zip(part["off"], part["data"], strict=True):
+                    h = _hashes(np.frombuffer(data, np.uint8), LENGTH)
+                    starts = np.arange(max(0, off - LENGTH + GRAM), min(off + 1, len(h)))
+                    place.append(starts - off)
+                    window.append(h[starts])
+                times = [len(p) for p in place]
+                yield pd.DataFrame({
+                    "anchor": np.repeat(part["anchor"], times), "ctx": np.repeat(part["ctx"], times), "copies": np.repeat(part["copies"], times),
+                    "a": np.concatenate(place), "window": np.concatenate(window).view(np.int64),
+                })
 
     each = rows.mapInPandas(work, "anchor long, ctx long, copies long, a long, window long")
     twice = each.groupBy("anchor", "a", "window").agg(F.sum("copies").alias("held")).where("held > 1").drop("held")
