@@ -144,9 +144,10 @@ def link_keyed(keyed: DataFrame, units: DataFrame, scratch: Scratch, how: Simila
     keyed has (id, n, key) for each band of each set, units (id, text) for all ids;
     rows of either may be repeated.
     """
-    heads = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last")).where("head.id < last").drop("last")
-    in_bucket = scratch.save(keyed.join(scratch.save(heads), "key").distinct())
-    met = in_bucket.where("id <> head.id").where(_could(how, "n", "head.n")).groupBy("id", F.col("head.id").alias("head")).agg(F.count("*").alias("met"))
+    heads = scratch.save(keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"))
+    in_bucket = scratch.save(keyed.join(heads, "key").distinct())
+    sizes = in_bucket.where("id = head").select("key", F.col("n").alias("head_n"))
+    met = in_bucket.where("id <> head").join(sizes, "key").where(_could(how, "n", "head_n")).groupBy("id", "head").agg(F.count("*").alias("met"))
     first = scratch.save(met.groupBy("id").agg(F.max(F.struct("met", (-F.col("head")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), F.col("id").alias("b")))
     full = _sets(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct(), units, how, scratch)
     good = _verified(first, full, how, scratch)

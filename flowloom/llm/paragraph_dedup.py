@@ -44,7 +44,8 @@ def _lines(docs: DataFrame, least: int, how: Similarity, keys: bool) -> DataFram
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            lines = [c for text in x["text"] for _, _, c, _ in _paragraphs(text, least)]
+            # equal lines of a batch count once: the rest of a large group of copies is met by its print
+            lines = list(dict.fromkeys(c for text in x["text"] for _, _, c, _ in _paragraphs(text, least)))
             for at in range(0, len(lines), 5000):
                 part = lines[at : at + 5000]
                 sets = shingle_sets(part, how.width)
