@@ -134,8 +134,19 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from scored qualify rank <= 5
 """
 
+OP8_SQL = """
+with hashed as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) x from pages),
+heads as (select x, max(page_id) head from hashed group by x)
+select page_id, n payload_bytes,
+  array_to_string(list_transform(list_transform(range(8), lambda i: cast('0x' || x[5 * i + 1:5 * i + 5] as bigint)), lambda v:
+    array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> k) & 31) + 1]), '')), '') payload_digest,
+  case when page_id = head then 'response' else 'revisit' end record_type, case when page_id <> head then head end refers_to
+from hashed join heads using (x)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op2_shard_tree": OP2_SQL,
     "op3_topk_search": OP3_SQL,
+    "op8_warc": OP8_SQL,
 }
