@@ -1,4 +1,4 @@
-"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding and exact sentences."""
+"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding, exact sentences and exact runs of words."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import Scratch
 from flowloom.llm.neardup import Similarity, link_keyed
-from flowloom.llm.sketch import band_keys, shingle_sets, sketches
+from flowloom.llm.sketch import band_keys, placed_words, run_hashes, shingle_sets, sketches
 
 #: 21 bands of 3: paragraphs at a similarity of 0.75 are missed with a probability of 1e-5.
 HOW = Similarity(coordinates=64, rows=3)
@@ -84,6 +84,54 @@ def _units(docs: DataFrame, least: int, how: Similarity) -> DataFrame:
     return docs.mapInPandas(work, "k long, id long, kind int, idx int, start int, stop int, words int, fp long")
 
 
+def _windows(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, window, anchor) of each run of `least` words: its characters, its hash, and that of its anchor.
+
+    The anchor is the run of half as many words in it with the least hash, so equal
+    windows have equal anchors, and one anchor serves many windows in a row.
+    """
+    start, stop, h = placed_words(text or "")
+    if len(h) < least:
+        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    half = run_hashes(h, (least + 1) // 2)
+    anchor = np.lib.stride_tricks.sliding_window_view(half, least - (least + 1) // 2 + 1).min(axis=1)
+    return start[: len(anchor)], stop[least - 1 :], run_hashes(h, least).view(np.int64), anchor.view(np.int64)
+
+
+def _shared_runs(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(k, id, start, stop, words, first) of the longest runs of words of which every `least` in a row stand in an earlier document.
+
+    Runs may start and end anywhere and go on over line ends. Windows whose anchor
+    only one document has can't repeat and are never dealt out; the others are
+    compared by 64-bit hashes.
+    """
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [np.unique(_windows(t, least)[3]) for t in x["text"]]
+            yield pd.DataFrame({"k": np.repeat(x["k"].to_numpy(np.int64), [len(a) for a in found]), "anchor": np.concatenate([np.empty(0, np.int64), *found])})
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for k, doc, text, shared in zip(x["k"].array, x["id"].array, x["text"], x["shared"], strict=True):
+                start, stop, window, anchor = _windows(text, least)
+                at = np.flatnonzero(np.isin(anchor, shared))
+                out = pd.DataFrame({"k": k, "i": at, "start": start[at], "stop": stop[at], "window": window[at]})
+                out.insert(1, "id", pd.array([None if pd.isna(doc) else int(doc)] * len(at), "Int64"))
+                yield out
+
+    seen = scratch.save(docs.select("k", "text").mapInPandas(anchors, "k long, anchor long"))
+    shared = seen.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("anchor")
+    held = seen.join(shared, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("shared"))
+    dealt = scratch.save(docs.join(held, "k").mapInPandas(windows, "k long, id long, i int, start int, stop int, window long"))
+    repeated = dealt.groupBy("window").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    found = dealt.join(repeated.where("lo < hi").select("window", "first"), "window").where("k <> first.k")
+    # rows repeated in full have equal places
+    runs = found.withColumn("run", F.col("i") - F.dense_rank().over(Window.partitionBy("k").orderBy("i")))
+    words = (F.max("i") - F.min("i") + least).cast("long")
+    return runs.groupBy("k", "id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), words.alias("words"), F.min("first.id").alias("first")).drop("run")
+
+
 def _spans(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> DataFrame:
     """(k, id, start, stop, words, first) of all that is to go, disjoint within a document."""
     label = link_keyed(_lines(docs, least, how, True), _lines(docs, least, how, False), scratch, how)
@@ -99,7 +147,7 @@ def _spans(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> Da
     runs = found.where(F.col("kind") == SENTENCE).withColumn("run", F.col("idx") - F.row_number().over(in_order))
     runs = runs.groupBy("k", "id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("first").alias("first")).where(F.col("words") >= least)
     lines = found.where(F.col("kind") == LINE).select("k", "id", "start", "stop", F.col("words").cast("long").alias("words"), "first")
-    spans = lines.unionByName(runs.drop("run"))
+    spans = scratch.save(lines.unionByName(runs.drop("run")).unionByName(_shared_runs(docs, least, scratch)))
     so_far = F.max("stop").over(Window.partitionBy("k").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("opens", F.when(F.coalesce(F.col("start") > so_far, F.lit(True)), 1).otherwise(0))
     opened = opened.withColumn("span", F.sum("opens").over(Window.partitionBy("k").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, 0)))
@@ -109,7 +157,9 @@ def _spans(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> Da
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, how: Similarity = HOW, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The passages to remove: id, start, stop (characters of the text), n_words, first_doc_id (where it stays).
 
-    Paragraphs are lines of least_words or more. Those whose word shingles are
+    Every run of least_words or more that a document with a smaller id has too goes,
+    without case (A-Z), wherever it starts and ends and over line ends. Paragraphs
+    are lines of least_words or more. Those whose word shingles are
     similar (0.75 or more, directly or in a chain) form a component; so do equal
     sentences of SENTENCE_WORDS or more, without case. The document of the smallest
     id in a component keeps its own; from the others go similar paragraphs, and

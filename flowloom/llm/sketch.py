@@ -45,6 +45,28 @@ def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first character of each word of text, the one behind its last, and the hashes of word_hashes."""
+    found, chars = [], 0
+    data = text.encode("utf-8", "replace")
+    for piece in _pieces(data):
+        starts, h = _hash_words(piece)
+        raw = np.frombuffer(piece, np.uint8)
+        # bytes that begin a character, up to each byte
+        at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[raw], [False])).astype(np.int8)))
+        found.append((at[starts] + chars, at[edge[1::2]] + chars, h))
+        chars += at[-1]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n words, given the words' hashes."""
+    up, down = _power(len(h))
+    total = np.concatenate((np.zeros(1, U), np.cumsum(h * up[: len(h)])))
+    return mix((total[n:] - total[:-n]) * down[: max(len(h) - n + 1, 0)]) if len(h) >= n else np.empty(0, U)
+
+
 def _pieces(data: bytes):
     """data in pieces of about PIECE bytes, cut at white space."""
     at = 0

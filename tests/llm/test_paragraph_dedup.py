@@ -32,3 +32,33 @@ def test_passages(spark):
     left = {r.doc_id: r.text for r in kept.collect() if r.doc_id != 11}
     assert left == text | {2: text[2].replace(line, ""), 3: text[3].replace(changed, ""), 5: text[5].replace(inline, ""), None: ""}
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passages_off_the_lines(spark):
+    r = random.Random(7)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    spliced, verse, below = " ".join(words(50)), "\n".join(" ".join(words(4)) for _ in range(13)), " ".join(words(29))
+    docs = {1: " ".join(words(70) + [spliced] + words(70)), 2: " ".join(words(9) + ["\u00e9\u00e9"] + [spliced.upper()] + words(80)), 3: " ".join(words(20)) + "\n" + verse + "\n" + " ".join(words(9)),
+            4: " ".join(words(5)) + "\n" + verse + "\nand " + below + " end", 5: " ".join(words(25) + [below] + words(25)), 6: " ".join([*words(3), spliced[: len(spliced) // 2], *words(40)])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, docs[x.doc_id][x.start : x.stop], x.n_words, x.first_doc_id) for x in repeated_passages(df).collect()}
+    assert got == {(2, spliced.upper(), 50, 1), (4, verse, 52, 3)}
+
+
+def test_runs_against_all_windows(spark):
+    r = random.Random(8)
+    pool = [" ".join(r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(r.randrange(15, 60))) for _ in range(12)]
+    docs = {i: r.choice([" ", "\n"]).join(r.choice(pool)[r.randrange(20) :] for _ in range(6)) for i in range(60)}
+    first, gone = {}, set()
+    for i, text in docs.items():
+        words = text.split()
+        for at in range(len(words) - 29):
+            if first.setdefault(tuple(words[at : at + 30]), i) < i:
+                gone |= {(i, x) for x in range(at, at + 30)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    cut = {i: [False] * len(t) for i, t in docs.items()}
+    for x in repeated_passages(df).collect():
+        cut[x.doc_id][x.start : x.stop] = [True] * (x.stop - x.start)
+    for i, text in docs.items():
+        starts = [at for at in range(len(text)) if not text[at].isspace() and (at == 0 or text[at - 1].isspace())]
+        assert {x for x, at in enumerate(starts) if cut[i][at]} >= {x for d, x in gone if d == i}
