@@ -39,6 +39,10 @@ def _prints(sets: list[np.ndarray]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
 
 
+def _print(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def _lines(docs: DataFrame, least: int, how: Similarity, keys: bool) -> DataFrame:
     """Of every paragraph the print of its shingle set, with its size and band keys, or with its text."""
 
@@ -59,7 +63,11 @@ def _lines(docs: DataFrame, least: int, how: Similarity, keys: bool) -> DataFram
 
 
 def _units(docs: DataFrame, least: int, how: Similarity) -> DataFrame:
-    """(k, id, kind, idx, start, stop, words, fp) of every paragraph and every sentence of SENTENCE_WORDS or more."""
+    """(k, id, kind, idx, start, stop, words, fp) of every paragraph and every sentence of SENTENCE_WORDS or more.
+
+    What stands between two such sentences is a unit too, whose print holds the
+    sentence before it: it is repeated only where another document goes on alike.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -67,14 +75,22 @@ def _units(docs: DataFrame, least: int, how: Similarity) -> DataFrame:
             for k, doc, text in zip(x["k"].array, x["id"].array, x["text"], strict=True):
                 for i, (start, stop, content, words) in enumerate(_paragraphs(text, least)):
                     long_.append((k, doc, LINE, i, start, stop, words, content))
-                idx = 0
+                idx, last, between = 0, "", []
                 for line in _LINE.finditer(text or ""):
                     for m in _SENTENCE.finditer(line[0]):
                         words = m[0].lower().split()
-                        if len(words) >= SENTENCE_WORDS:
-                            fp = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace")) - (1 << 63)
-                            rows.append((k, doc, SENTENCE, idx, line.start() + m.start(), line.start() + m.end(), len(words), fp))
-                            idx += 1
+                        start, stop = line.start() + m.start(), line.start() + m.end()
+                        if len(words) < SENTENCE_WORDS:
+                            # before the first long sentence there is nothing to go on from
+                            between += [(start, stop, words)] if last else []
+                            continue
+                        if between:
+                            after = [w for _, _, ws in between for w in ws]
+                            rows.append((k, doc, SENTENCE, idx, between[0][0], between[-1][1], len(after), _print(f"{last}\n{' '.join(after)}")))
+                            idx, between = idx + 1, []
+                        last = " ".join(words)
+                        rows.append((k, doc, SENTENCE, idx, start, stop, len(words), _print(last)))
+                        idx += 1
             prints = _prints(shingle_sets([r[7] for r in long_], how.width))
             rows += [(*r[:7], fp) for r, fp in zip(long_, prints, strict=True)]
             out = pd.DataFrame(rows, columns=["k", "id", "kind", "idx", "start", "stop", "words", "fp"])
@@ -164,7 +180,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, how: Simi
     sentences of SENTENCE_WORDS or more, without case. The document of the smallest
     id in a component keeps its own; from the others go similar paragraphs, and
     runs of repeated sentences of least_words together, with the shorter sentences
-    between them. Repeats within one document stay. Null, empty and short texts
+    between them only if they follow the same sentence there too. Repeats within one document stay. Null, empty and short texts
     have no passages. Rows repeated in full count as one document; null ids come
     last. Other columns are not used; an empty table gives an empty table.
     """

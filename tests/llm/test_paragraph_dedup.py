@@ -62,3 +62,14 @@ def test_runs_against_all_windows(spark):
     for i, text in docs.items():
         starts = [at for at in range(len(text)) if not text[at].isspace() and (at == 0 or text[at - 1].isspace())]
         assert {x for x, at in enumerate(starts) if cut[i][at]} >= {x for d, x in gone if d == i}
+
+
+def test_short_lines_between_repeats(spark):
+    r = random.Random(9)
+    a, b, c, d, e, f = (sentence(r, n) for n in (16, 16, 20, 20, 20, 20))
+    poem = lambda: "\n".join(sentence(r, 4) for _ in range(9))
+    own, short = [poem(), poem()], sentence(r, 3)
+    docs = {1: f"{a} {sentence(r, 30)} {b}", 2: f"{sentence(r, 9)}\n{a}\n{own[0]}\n{b}\n{sentence(r, 9)}", 3: f"{c} {d} {sentence(r, 30)} {e} {f}", 4: f"{c} {d}\n{own[1]}\n{e} {f}",
+            5: f"{sentence(r, 12)} {a} {short} {sentence(r, 12)}", 6: f"{a} {short} {b}"}
+    left = {x.doc_id: x.text for x in drop_repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert left == docs | {4: f"\n{own[1]}\n", 6: ""}
