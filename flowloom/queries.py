@@ -280,6 +280,13 @@ def sort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.sort_rows(_t(spark, sf_dir, "orders"), keys).select("o_orderkey", "o_totalprice").limit(100)
 
 
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) place from orders")
+def sort_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their place in the sorted order."""
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", (-F.col("o_totalprice")).alias("down"))
+    return order.numbered(df, ["o_orderpriority", "down", "o_orderkey"], "place").select("o_orderkey", "o_totalprice", "place")
+
+
 @query("""with r as (select o_custkey, o_orderkey, cast(round(o_totalprice, 2) as decimal(18,2)) amount, case when o_orderstatus = 'F' then 'D' else 'C' end flag,
     (row_number() over (partition by o_custkey order by cast(o_orderkey as varchar)) - 1) // 5 + 1 page from orders),
   p as (select o_custkey, page, sum(case when flag = 'D' then amount else 0 end) d, sum(case when flag = 'D' then 0 else amount end) c from r group by all),
@@ -408,15 +415,24 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("o_orderkey", messages.message_field("20").alias("reference"), "line_no", "field61", "field86")
 
 
-@query("select o_orderkey, '2024-01-02' value_date, 'D' mark, cast(o_orderkey + 0.5 as double) amount, 'ref' || o_orderkey || '/F' label from orders where o_orderstatus = 'F'")
-def message_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", F.expr("concat('240102D', o_orderkey, ',5NTRFref')").alias("line"))
+def _movements(orders: DataFrame) -> DataFrame:
+    df = orders.select("o_orderkey", "o_orderstatus", F.expr("concat('240102D', o_orderkey, ',5NTRFref')").alias("line"))
     parts = messages.movement("line")
     df = df.select("o_orderkey", "o_orderstatus", parts["value_date"].cast("string").alias("value_date"), parts["mark"].alias("mark"), parts["amount"].cast("double").alias("amount"), parts["reference"].alias("reference"))
     df = messages.transform_messages(df, [{"name": "both", "type": "concatenate", "sources": ["reference", "o_orderkey"]}, {"name": "label", "type": "expression", "expression": "concat(both, '/', o_orderstatus)"}])
     return df.select("o_orderkey", "value_date", "mark", "amount", "label")
 
 
+@query("select o_orderkey, '2024-01-02' value_date, 'D' mark, cast(o_orderkey + 0.5 as double) amount, 'ref' || o_orderkey || '/F' label from orders where o_orderstatus = 'F'")
+def message_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _movements(_t(spark, sf_dir, "orders").where("o_orderstatus = 'F'"))
+
+
+@query("select o_orderkey, '2024-01-02' value_date, 'D' mark, cast(o_orderkey + 0.5 as double) amount, 'ref' || o_orderkey || '/' || o_orderstatus label from orders")
+def message_transform_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _movements(_t(spark, sf_dir, "orders"))
+
+
 def _row_code(row: dict) -> dict | None:
     if row["s_suppkey"] % 10 == 0:
         raise ValueError("tenth")
