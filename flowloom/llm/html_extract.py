@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import Scratch
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: Pages of a host from which a subtree is a template, and shares of them: outside article and main against noise only.
+LEAST_PAGES, NOISE_SHARE, INSIDE_SHARE = 5, 0.2, 0.5
 
 #: Fixed values of the format: elements without content, of raw text, that break lines, and that start a new paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,46 +124,81 @@ def parse(source: str | None) -> tuple[list[tuple[str, bool, bool]], list[Elemen
     return blocks, elements
 
 
-def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """A page's main text: the blocks in article or main, or else those of the page, without left-out ones.
+def _kept(source: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
+    """The blocks of a page that are not left out, as (text, in article), and the elements that hold some, as (first, until, key, in article).
 
-    Outside article and main, blocks of subtrees that templates has are deleted too.
+    The key is the hash of the subtree; its last bit says whether it stands in article or main.
     """
     blocks, elements = parse(source)
-    if any(article and not out for _, out, article in blocks):
-        return "\n".join(text for text, out, article in blocks if article and not out)
-    gone = [out for _, out, _ in blocks]
-    for e in elements:
-        if _signed(e.hash.intdigest()) in templates:
-            gone[e.first : e.until] = [True] * (e.until - e.first)
-    return "\n".join(text for (text, _, _), out in zip(blocks, gone, strict=True) if not out)
+    at = [0]
+    for _, out, _ in blocks:
+        at.append(at[-1] + (not out))
+    held = [(at[e.first], at[e.until], _signed(e.hash.intdigest() >> 1 << 1 | e.article), e.article) for e in elements if e.tag not in ("html", "body")]
+    return [(text, article) for text, out, article in blocks if not out], [x for x in held if x[0] < x[1]]
+
+
+def _joined(blocks: list[tuple[str, bool]], spans: Iterable[tuple[int, int]]) -> str:
+    """The text of blocks without those in spans: of article and main only, if these hold half of it or more."""
+    gone = [False] * len(blocks)
+    for first, until in spans:
+        gone[first:until] = [True] * (until - first)
+    left = [b for b, g in zip(blocks, gone, strict=True) if not g]
+    inside = sum(len(text) for text, article in left if article)
+    hint = inside and 2 * inside >= sum(len(text) for text, _ in left)
+    return "\n".join(text for text, article in left if article or not hint)
+
+
+def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> str:
+    """A page's main text: its blocks without left-out ones and those of subtrees whose keys templates has.
+
+    Where article and main hold half of that text or more, only theirs.
+    """
+    blocks, elements = _kept(source)
+    return _joined(blocks, [(first, until) for first, until, key, _ in elements if key in templates])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): the subtrees outside article and main that recur on a host.
+def _print(texts: Iterable[str]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "replace")))
 
-    A subtree counts once a page. It is a template from LEAST_PAGES pages and
-    LEAST_SHARE of the host's pages on, so a host has no more than 1 / LEAST_SHARE
-    times the subtrees of a page. Counts are summed before the shuffle.
-    """
+
+def _parsed(pages: DataFrame, kind: str) -> DataFrame:
+    """Each page parsed once: its kept blocks and elements, a key for equal rows, and the hashes of its text and of its article's text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
-            for host, source in zip(x["host"], x["html"], strict=True):
-                found = {_signed(e.hash.intdigest()) for e in parse(source)[1] if not e.article and e.tag not in ("html", "body")}
-                rows += [(host, 0, h) for h in found]
-                rows.append((host, 1, 0))
-            yield pd.DataFrame(rows, columns=["host", "page", "hash"])
-
-    each = pages.select("host", "html").mapInPandas(work, "host string, page int, hash long").groupBy("host", "page", "hash").agg(F.count("*").alias("pages"))
-    total = each.where("page = 1").select("host", F.col("pages").alias("total"))
-    kept = each.where("page = 0").where(F.col("pages") >= LEAST_PAGES).join(total, "host").where(F.col("pages") >= LEAST_SHARE * F.col("total"))
-    return kept.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+            for source in x["html"]:
+                blocks, elements = _kept(source)
+                inside = [text for text, article in blocks if article]
+                rows.append(([t for t, _ in blocks], [a for _, a in blocks], *([e[i] for e in elements] for i in range(4)), _print(t for t, _ in blocks), _print(inside) if inside else None))
+            out = pd.DataFrame(rows, columns=["texts", "inside", "firsts", "untils", "hashes", "held", "page", "article"])
+            out["article"] = pd.array(out["article"], "Int64")
+            yield pd.concat([x[["id", "url", "host", "key"]].reset_index(drop=True), out], axis=1)
+
+    schema = f"id {kind}, url string, host string, key long, texts array<string>, inside array<boolean>, firsts array<int>, untils array<int>, hashes array<long>, held array<boolean>, page long, article long"
+    return pages.withColumn("key", F.xxhash64("id", "url", "html")).mapInPandas(work, schema)
+
+
+def site_templates(parsed: DataFrame) -> DataFrame:
+    """(host, hash): the subtrees that recur on a host.
+
+    A subtree counts once for all pages of equal text, in article and main once for
+    all of equal article text, so copies of a page make no template. It is one from
+    LEAST_PAGES such pages on, if these are NOISE_SHARE of the host's or more; in
+    article and main, where a line that recurs may well be the authors', if they
+    are INSIDE_SHARE or more. Counts are summed before the shuffle.
+    """
+    each = parsed.select("host", "page", "article", F.explode(F.arrays_zip("hashes", "held")).alias("e"))
+    each = each.select("host", F.col("e.hashes").alias("hash"), F.col("e.held").alias("held"), F.when(F.col("e.held"), F.col("article")).otherwise(F.col("page")).alias("body")).distinct()
+    count = each.groupBy("host", "hash", "held").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    bodies = parsed.select("host", F.explode(F.array(F.struct(F.lit(False).alias("held"), F.col("page").alias("body")), F.struct(F.lit(True).alias("held"), F.col("article").alias("body")))).alias("b"))
+    total = bodies.select("host", "b.held", "b.body").where("body is not null").distinct().groupBy("host", "held").agg(F.count("*").alias("total"))
+    share = F.when(F.col("held"), INSIDE_SHARE).otherwise(NOISE_SHARE)
+    return count.join(total, ["host", "held"]).where(F.col("pages") >= share * F.col("total")).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", scratch: Scratch | None = None) -> DataFrame:
@@ -173,24 +209,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     out. Null, empty and broken pages give what text they have, perhaps "". Null
     urls share one host; repeated rows give equal rows; other columns are not used.
 
-    Subtrees that recur on many pages of a host are found first. Pages with an
-    article or main element don't need them; only the others are joined with their
-    host's templates, a join whose large partitions Spark can split.
+    Subtrees that recur on many pages of a host are found first. The subtrees of all
+    pages are joined with them one by one.
     """
     scratch = scratch or Scratch(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host.alias("host"))
-    templates = scratch.save(site_templates(rows))
     kind = pages.schema[id_col].dataType.simpleString()
+    parsed = scratch.save(_parsed(rows, kind))
+    templates = scratch.save(site_templates(parsed))
+    elements = parsed.select("key", "host", F.explode("hashes").alias("hash"))
+    hits = scratch.save(elements.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("found")))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            hashes = x["hashes"] if "hashes" in x else [None] * len(x)
-            texts = [main_text(s, frozenset(h) if h is not None else frozenset()) for s, h in zip(x["html"], hashes, strict=True)]
+            texts = []
+            for blocks, inside, firsts, untils, hashes, found in zip(x["texts"], x["inside"], x["firsts"], x["untils"], x["hashes"], x["found"], strict=True):
+                gone = frozenset(found) if found is not None else frozenset()
+                texts.append(_joined(list(zip(blocks, inside, strict=True)), [(f, u) for f, u, h in zip(firsts, untils, hashes, strict=True) if h in gone]))
             yield pd.DataFrame({"id": x["id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    schema = f"id {kind}, url string, text string, n_chars long"
-    marked = F.col("html").rlike(r"(?i)<(article|main)[\s>/]")
-    alone = rows.where(marked).select("id", "url", "html").mapInPandas(work, schema)
-    others = rows.where(~marked).join(templates, "host", "left").select("id", "url", "html", "hashes").mapInPandas(work, schema)
-    return alone.unionByName(others).withColumnRenamed("id", id_col)
+    out = parsed.select("id", "url", "key", "texts", "inside", "firsts", "untils", "hashes").join(hits, "key", "left").drop("key").mapInPandas(work, f"id {kind}, url string, text string, n_chars long")
+    return out.withColumnRenamed("id", id_col)

@@ -34,6 +34,18 @@ def test_site_templates(spark):
     assert extract(df).count() == len(rows) and extract(df.limit(0)).count() == 0
 
 
+def test_templates_with_articles(spark):
+    menu, own = "<div><p>Home of the menu</p></div>", "<div><p>Own text {0} of this page, in divs</p></div>"
+    forms = ["<article><p>Text {0} is long enough to be most of it</p><p>Read more on us</p></article>", own + "<article class=comment>Nice {0}</article>", own + "<!-- <article> -->", own + "<script>'<main>'</script>", own + "<article>Tease {0}</article>"]
+    rows = [(i, f"http://a.example.com/{i}", menu + forms[0 if i < 30 else i % 4 + 1].format(f"n{i}")) for i in range(50)]
+    # copies of one page are no template
+    rows += [(i, "http://b.example.com/", "<article><p>Same</p></article>") for i in range(100, 120)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"Text n{i} is long enough to be most of it" for i in range(30)) and all(got[i] == "Same" for i in range(100, 120))
+    body = "Own text n{0} of this page, in divs"
+    assert all(got[i] == body.format(i) + (f"\nTease n{i}" if i % 4 == 3 else "") for i in range(30, 50))
+
+
 def test_pages(spark, sf_dir):
     import html
 
