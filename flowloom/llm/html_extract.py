@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import Scratch
 
 #: Pages of a host from which a subtree is a template, and shares of them: outside article and main against noise only.
-LEAST_PAGES, NOISE_SHARE, INSIDE_SHARE = 5, 0.2, 0.5
+LEAST_PAGES, NOISE_SHARE, INSIDE_SHARE = 5, 0.001, 0.5
+SALTS = 16
 
 #: Fixed values of the format: elements without content, of raw text, that break lines, and that start a new paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -210,16 +211,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     urls share one host; repeated rows give equal rows; other columns are not used.
 
     Subtrees that recur on many pages of a host are found first. The subtrees of all
-    pages are joined with them one by one.
+    pages are joined with them one by one, a large host's dealt out over SALTS.
     """
     scratch = scratch or Scratch(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host.alias("host"))
     kind = pages.schema[id_col].dataType.simpleString()
     parsed = scratch.save(_parsed(rows, kind))
-    templates = scratch.save(site_templates(parsed))
-    elements = parsed.select("key", "host", F.explode("hashes").alias("hash"))
-    hits = scratch.save(elements.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("found")))
+    templates = scratch.save(site_templates(parsed)).withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    elements = parsed.select("key", "host", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"), F.explode("hashes").alias("hash"))
+    hits = scratch.save(elements.join(templates, ["host", "hash", "salt"]).groupBy("key").agg(F.collect_set("hash").alias("found")))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

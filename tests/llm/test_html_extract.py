@@ -46,6 +46,12 @@ def test_templates_with_articles(spark):
     assert all(got[i] == body.format(i) + (f"\nTease n{i}" if i % 4 == 3 else "") for i in range(30, 50))
 
 
+def test_large_host(spark):
+    page = lambda i: f"<div><p>Text {i}</p></div>" + ("<div><p>Menu of a section</p></div>" if i % 10 == 0 else "")
+    df = spark.createDataFrame([(i, "http://large.example.com/", page(i)) for i in range(400)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: f"Text {i}" for i in range(400)}
+
+
 def test_pages(spark, sf_dir):
     import html
 
