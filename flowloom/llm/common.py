@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +18,40 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the one that the session names in spark.checkpoint.dir. Where that is
-    unset (a local session, as in tests) a temporary folder is made and named.
+    unset, a local session (as in tests) gets a temporary folder; a cluster's
+    executors could not read such a folder, so there that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of one long that are broadcast: about 16 MB, 60 MB as a hash table.
+BROADCAST_ROWS = 1 << 21
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is in ids, a written table of distinct longs in its column `on`.
+
+    A table of at most BROADCAST_ROWS is broadcast, so that wide rows need no shuffle; a larger one is joined.
+    """
+    ids = ids.select(on)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_semi")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor costs no more than the step it was in."""
 
@@ -46,9 +72,13 @@ class Scratch:
         return out
 
     def drop(self, *saved: DataFrame) -> None:
-        """Delete saved tables that nothing reads any more."""
+        """Delete saved tables that nothing reads any more, and let Spark free the shuffle files of finished steps.
+
+        Spark frees them when the driver collects its garbage, which a driver with little to do may not for hours.
+        """
         for df in saved:
             self._delete(df._scratch_path)
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -34,15 +38,41 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+LONG_WORD = 64
+
+
+def loads(raw: np.ndarray) -> np.ndarray:
+    """For each place of raw (bytes) the eight bytes from there on as one number; behind the end stand zeros."""
+    out = np.zeros(len(raw) + 8, np.uint8)
+    out[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", out, strides=(1,))
+
+
 def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of data start, and their 64-bit hashes with A-Z taken as a-z."""
+    """Where the words of data start, and their 64-bit hashes with A-Z taken as a-z.
+
+    Eight bytes at a time go through the finaliser, so no two words cancel out as
+    they can in a polynomial; words above LONG_WORD bytes go through xxh3.
+    """
     raw = np.frombuffer(data, np.uint8)
-    word = np.concatenate(([False], ~_SPACE[raw], [False]))
-    edge = np.flatnonzero(word[1:] != word[:-1])
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw], [True]))))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(raw))
-    total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[raw] * up[: len(raw)])))
-    return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    size = ends - starts
+    low = _LOWER[raw]
+    eight = loads(low)
+    h = mix(size.astype(U) + U(_BASE))
+    part, at = np.arange(len(starts)), 0
+    while len(part):
+        left = np.minimum(size[part] - at, 8)
+        h[part] = mix(h[part] * U(_BASE) + (eight[starts[part] + at] & _KEEP[left]))
+        at += 8
+        part = part[(size[part] > at) & (size[part] <= LONG_WORD)]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(low[starts[i] : ends[i]].tobytes())
+    return starts, h
 
 
 def placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +90,25 @@ def placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n words, given the words' hashes."""
-    up, down = _power(len(h))
-    total = np.concatenate((np.zeros(1, U), np.cumsum(h * up[: len(h)])))
-    return mix((total[n:] - total[:-n]) * down[: max(len(h) - n + 1, 0)]) if len(h) >= n else np.empty(0, U)
+def run_hashes(x: np.ndarray, n: int, step: int = 1) -> np.ndarray:
+    """A 64-bit hash of each run of n numbers that stand `step` places apart in x.
+
+    Runs of 1, 2, 4 and so on are hashed from their halves, and the run from those
+    that make it up; the finaliser between them leaves no algebra to cancel out.
+    """
+    many = len(x) - (n - 1) * step
+    if many <= 0:
+        return np.empty(0, U)
+    out, done, size, level = None, 0, 1, x
+    while True:
+        if n & size:
+            part = level[done * step : done * step + many]
+            out = mix(part) if out is None else mix(out * U(_BASE) + part)
+            done += size
+        if done == n:
+            return out
+        level = mix(level[: len(level) - size * step] * U(_BASE) + level[size * step :])
+        size *= 2
 
 
 def _pieces(data: bytes):
@@ -149,16 +193,18 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def distinct_shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct hashes of the runs of `width` words, from the words' hashes."""
+    x = np.sort(shingle_hashes(h, width))
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `width` words.
 
     A text with fewer words is one run, one without words has none.
     """
-    out = []
-    for h in word_hashes(texts):
-        x = np.sort(shingle_hashes(h, width))
-        out.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x)
-    return out
+    return [distinct_shingles(h, width) for h in word_hashes(texts)]
 
 
 def sketches(sets: list[np.ndarray], t: int, seed: int = 1) -> np.ndarray:
