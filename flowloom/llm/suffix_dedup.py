@@ -1,4 +1,4 @@
-"""Exact repeats of 400 bytes: suffix arrays by the difference-cover algorithm, distributed by content anchors."""
+"""Exact repeats of 400 bytes: suffixes sorted by the difference-cover algorithm and compared with their neighbours, dealt out by content anchors."""
 
 from __future__ import annotations
 
@@ -10,13 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.anchored import Strings, repeated_strings
 from flowloom.llm.common import Scratch
-from flowloom.llm.sketch import _BASE, U, _power, mix
+from flowloom.llm.sketch import loads
 
 LENGTH, GRAM = 400, 64
-PART = 1 << 20
-BATCH = 300_000
-KINDS = 2000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -59,206 +57,63 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the `length` bytes of s from each place of a equal those from the place of b beside it."""
+    eight = loads(s)
+    same = np.ones(len(a), bool)
+    left = np.arange(len(a))
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        equal = eight[a[left] + at] == eight[b[left] + at]
+        same[left[~equal]] = False
+        left = left[equal]
+    return same
 
-    up, down = _power(len(raw))
-    return np.concatenate((np.zeros(1, U), np.cumsum(mix(raw.astype(U) + U(77)) * up[: len(raw)]))), down
 
+def sorted_strings(contexts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place, class) of all strings of `length` bytes: those whose bytes are equal are of one class.
 
-def _hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of `length` bytes."""
-    total, down = _prefix_sums(raw)
-    n = len(raw) - length + 1
-    return mix((total[length:] - total[:n]) * down[:n]) if n > 0 else np.empty(0, U)
-
-
-def anchors(raw: np.ndarray) -> np.ndarray:
-    """Positions of the GRAM-byte strings that stand for the LENGTH-byte windows around them.
-
-    Each window picks its string of least hash, the leftmost of equals, so windows
-    of equal content pick the same place in themselves.
-    """
-    w = LENGTH - GRAM + 1
-    h = _hashes(raw, GRAM)
-    if len(h) < w:
-        return np.empty(0, np.int64)
-    key = (h >> U(21) << U(21)) | np.arange(len(h), dtype=U)
-    padded = np.concatenate([key, np.full(-len(key) % w, np.iinfo(np.uint64).max, U)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: len(h) - w + 1], ahead[w - 1 : len(h)])
-    return np.unique((least & U((1 << 21) - 1)).astype(np.int64))
-
-
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(k, pos, anchor, ctx, lo, hi) of every anchor: its place, the hashes of its string and of its context, and the context's ends.
-
-    The context holds every window around the anchor: up to LENGTH - GRAM bytes
-    before its string and behind it.
-    """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for k, text in zip(x["k"], x["text"], strict=True):
-                whole = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-                seen = -1
-                for start in range(0, max(len(whole) - LENGTH, 0) + 1, PART - 2 * LENGTH):
-                    # a part reaches over its neighbours by a window on each side
-                    raw = whole[max(0, start - LENGTH) : start + PART]
-                    base = max(0, start - LENGTH)
-                    at = anchors(raw)
-                    at = at[at + base > seen]
-                    if not len(at):
-                        continue
-                    gram = _hashes(raw, GRAM)[at]
-                    at = at + base
-                    seen = int(at[-1])
-                    lo, hi = np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, len(whole))
-                    off = max(0, int(lo[0]))
-                    total, down = _prefix_sums(whole[off : int(hi[-1])])
-                    ctx = mix((total[hi - off] - total[lo - off]) * down[lo - off] + (at - lo).astype(U) * U(_BASE) + (hi - lo).astype(U))
-                    out.append(pd.DataFrame({"k": k, "pos": at, "anchor": gram.view(np.int64), "ctx": ctx.view(np.int64), "lo": lo, "hi": hi}))
-            if out:
-                yield pd.concat(out)
-
-    return docs.select("k", "text").mapInPandas(work, "k long, pos long, anchor long, ctx long, lo long, hi long")
-
-
-def repeated_windows(contexts: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
-    """For contexts (anchor, copies, offset of the anchor, bytes), where in each a LENGTH-byte window starts that some other of its anchor has too.
-
-    One suffix array is built over all, each context closed by a symbol of its own;
-    suffixes with a common prefix of LENGTH bytes stand together in it. Windows are
-    the same place of different contexts only where their anchors are: others of the
-    same text overlap themselves, and have their own anchors' contexts.
+    One suffix array is built over all contexts, each closed by a symbol of its own.
+    Equal strings stand together in it; each is compared with its neighbour byte by byte.
     """
-    raw = [np.frombuffer(c[3], np.uint8) for c in contexts]
-    sizes = np.array([len(r) + 1 for r in raw])
-    s = np.concatenate([np.append(r.astype(np.int64) + 1, 257 + i) for i, r in enumerate(raw)])
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    inside = np.arange(len(s)) - first[owner]
-    order = suffix_array(s)
-    room = (sizes[owner] - 1 - inside) >= LENGTH
-    offset = np.array([c[2] for c in contexts])[owner] - inside
-    window = room & (offset >= 0) & (offset <= LENGTH - GRAM)
-    order = order[window[order]]
-    full = np.zeros(len(s), U)
-    h = _hashes(s.astype(np.uint64), LENGTH)
-    full[: len(h)] = h
-    same = np.concatenate([[False], full[order[1:]] == full[order[:-1]]])
-    run = np.cumsum(~same)
-    anchor = np.array([c[0] for c in contexts], np.int64)[owner[order]]
-    copies = np.array([c[1] for c in contexts])[owner[order]]
-    place = np.lexsort((anchor, offset[order], run))
-    group = np.concatenate([[True], (run[place][1:] != run[place][:-1]) | (offset[order][place][1:] != offset[order][place][:-1]) | (anchor[place][1:] != anchor[place][:-1])])
-    number = np.cumsum(group) - 1
-    held = np.bincount(number, weights=copies[place]) if len(place) else np.empty(0)
-    hit = order[place[held[number] >= 2]] if len(place) else order
-    return np.split(np.sort(hit), np.searchsorted(np.sort(hit), first[1:])) if len(raw) > 1 else [np.sort(hit)]
+    sizes = np.array([len(c) + 1 for c in contexts])
+    joined = np.concatenate([np.append(c, np.uint8(0)) for c in contexts])
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    ends = np.cumsum(sizes)
+    symbols = joined.astype(np.int64) + 1
+    symbols[ends - 1] = 257 + np.arange(len(contexts))
+    order = suffix_array(symbols)
+    order = order[order + length < ends[owner[order]]]
+    if not len(order):
+        return order, order, order
+    kind = np.cumsum(~np.concatenate(([False], common_prefix(joined, order[1:], order[:-1], length))))
+    return owner[order], order - (ends - sizes)[owner[order]], kind
 
 
-def _spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Disjoint (start, stop) of all windows that begin at starts (sorted)."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + LENGTH).tolist(), strict=True))
+def _bytes(texts: list[str | None]) -> list[np.ndarray]:
+    return [np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8) for t in texts]
 
 
-def _sorted_groups(rows: DataFrame) -> DataFrame:
-    """rows (anchor, ctx, copies, off, data), whole groups sorted by anchor in each partition, to repeated (anchor, ctx, a, b) relative to the anchor."""
+WHAT = Strings(length=LENGTH, gram=GRAM, across=False, symbols=_bytes, classes=sorted_strings)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        size = 0
 
-        def out() -> pd.DataFrame:
-            first = np.cumsum([0] + [len(r[4]) + 1 for r in held])
-            found = []
-            for r, at, starts in zip(held, first, repeated_windows([(r[0], r[2], r[3], r[4]) for r in held]), strict=False):
-                found += [(r[0], r[1], a - r[3], b - r[3]) for a, b in _spans_of(starts - at)]
-            return pd.DataFrame(found, columns=["anchor", "ctx", "a", "b"])
-
-        for x in batches:
-            for r in zip(x["anchor"], x["ctx"], x["copies"], x["off"], x["data"], strict=True):
-                if size >= BATCH and r[0] != held[-1][0]:
-                    yield out()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[4]) + 1
-        if held:
-            yield out()
-
-    return rows.mapInPandas(work, "anchor long, ctx long, a long, b long")
-
-
-def _single_windows(rows: DataFrame) -> DataFrame:
-    """The same for anchors with so many contexts that one task should not hold them: every window is a row, counted by its hash before the shuffle."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for i in range(0, len(x), 500):
-                part, place, window = x.iloc[i : i + 500], [], []
-                for off, data in zip(part["off"], part["data"], strict=True):
-                    h = _hashes(np.frombuffer(data, np.uint8), LENGTH)
-                    starts = np.arange(max(0, off - LENGTH + GRAM), min(off + 1, len(h)))
-                    place.append(starts - off)
-                    window.append(h[starts])
-                times = [len(p) for p in place]
-                yield pd.DataFrame({
-                    "anchor": np.repeat(part["anchor"], times), "ctx": np.repeat(part["ctx"], times), "copies": np.repeat(part["copies"], times),
-                    "a": np.concatenate(place), "window": np.concatenate(window).view(np.int64),
-                })
-
-    each = rows.mapInPandas(work, "anchor long, ctx long, copies long, a long, window long")
-    twice = each.groupBy("anchor", "a", "window").agg(F.sum("copies").alias("held")).where("held > 1").drop("held")
-    return each.join(twice, ["anchor", "a", "window"]).select("anchor", "ctx", "a", (F.col("a") + LENGTH).alias("b"))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256 for every row.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, what: Strings = WHAT) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and repeated (whether anything goes) for every row.
 
     A byte is removed if a 400-byte string over it also starts anywhere else, in
     another document or the same. Null and empty texts have 0 bytes. Rows repeated
-    in full are each other's repeats. Other columns are not used; an empty table
-    gives an empty table.
+    in full are each other's repeats. Other columns are not used, whatever their
+    names; an empty table gives an empty table.
 
-    Every window is represented by an anchor that its content picks, so equal
-    windows meet under one anchor. Anchors seen once are out. Contexts of an anchor
-    that are equal throughout are all repeats, found by their hashes alone. Where
-    an anchor has different contexts, one of each kind is sent to the anchor's task,
-    which sorts their suffixes by the difference-cover algorithm and compares
-    neighbours; anchors with more than KINDS kinds are split into single windows.
+    Every string is represented by an anchor that its content picks, so equal
+    strings meet under one anchor (see anchored). The contexts of an anchor are one
+    text whose suffixes are sorted by the difference-cover algorithm; neighbours
+    are compared byte by byte.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     read = read.select("id", "text", F.xxhash64("id", "text").alias("k"))
-    rows = scratch.save(_anchor_rows(read))
-    kinds = scratch.save(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("k", "pos", "lo", "hi")).alias("one")))
-    several = scratch.save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    ones = scratch.save(kinds.join(several, "anchor").select("anchor", "ctx", "copies", "kinds", "one.*"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for wanted, text in zip(x["wanted"], x["text"], strict=True):
-                data = text.encode("utf-8", "replace")
-                part = [(w["anchor"], w["ctx"], w["copies"], w["kinds"], w["pos"] - w["lo"], data[w["lo"] : w["hi"]]) for w in wanted]
-                yield pd.DataFrame(part, columns=["anchor", "ctx", "copies", "kinds", "off", "data"])
-
-    wanted = ones.groupBy("k").agg(F.collect_list(F.struct("anchor", "ctx", "copies", "kinds", "pos", "lo", "hi")).alias("wanted"))
-    texts = read.where(F.octet_length("text") >= LENGTH).select("k", "text")
-    sent = texts.join(wanted, "k").dropDuplicates(["k"]).mapInPandas(cut, "anchor long, ctx long, copies long, kinds long, off long, data binary")
-    sent = scratch.save(sent)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = _sorted_groups(sent.where(F.col("kinds") <= KINDS).repartition(4 * parts, "anchor").sortWithinPartitions("anchor"))
-    found = scratch.save(sorted_.unionByName(_single_windows(sent.where(F.col("kinds") > KINDS))))
-    relative = rows.join(found, ["anchor", "ctx"]).select("k", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("stop"))
-    equal = rows.join(kinds.where("copies > 1").select("anchor", "ctx"), ["anchor", "ctx"]).where(F.col("hi") - F.col("lo") >= LENGTH)
-    spans = equal.select("k", F.col("lo").alias("start"), F.col("hi").alias("stop")).unionByName(relative)
+    spans = repeated_strings(read.select("k", F.col("k").alias("owner"), "text"), what, scratch)
     gone = scratch.save(spans.groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    scratch.drop(kinds, several, ones, sent)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,8 +131,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scr
                 for a, b in [*merged, [len(data), len(data)]]:
                     kept.update(data[at:a])
                     at = b
-                out.append((doc, len(data), sum(b - a for a, b in merged), len(merged), kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((doc, len(data), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), bool(merged)))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated"])
 
     joined = read.join(gone, "k", "left").select("id", "text", "spans")
-    return joined.mapInPandas(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return joined.mapInPandas(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean").withColumnRenamed("id", id_col)

@@ -1,11 +1,13 @@
 import hashlib
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+import pytest
 
-from flowloom.llm import suffix_dedup
-from flowloom.llm.suffix_dedup import repeats, suffix_array
+from flowloom.llm import anchored
+from flowloom.llm.suffix_dedup import WHAT, repeats, suffix_array
 
 
 def brute(texts):
@@ -41,9 +43,9 @@ def texts():
     return out
 
 
-def run(spark, rows):
+def run(spark, rows, what=WHAT):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, k int, pos int").repartition(4)
-    return Counter(tuple(r) for r in repeats(df).collect())
+    return Counter(tuple(r)[:5] for r in repeats(df, what=what).collect())
 
 
 def test_against_brute_force(spark):
@@ -51,10 +53,13 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_many_contexts_and_parts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "KINDS", 3)
+@pytest.mark.parametrize("held", [1, 3])
+def test_groups_dealt_again(spark, held):
     rows = texts()
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, replace(WHAT, held=held)) == brute(rows)
+
+
+def test_no_rows(spark):
     assert not run(spark, [])
 
 
@@ -63,8 +68,19 @@ def test_documents(spark, sf_dir):
     assert run(spark, rows) == brute(rows)
 
 
-def test_long_text_in_parts():
+def test_long_text_in_parts(monkeypatch):
     r = random.Random(3)
     raw = np.array([r.randrange(256) for _ in range(20_000)], np.uint8)
-    whole = suffix_dedup.anchors(raw)
-    assert len(whole) < 300 and np.diff(whole).max() <= 400 - 64 + 1
+    whole = anchored.anchor_places([raw], WHAT)
+    assert len(whole[1]) < 300 and np.diff(whole[1]).max() <= 400 - 64 + 1
+    monkeypatch.setattr(anchored, "CHUNK", 3000)
+    parts = anchored.anchor_places([raw[:100], raw], WHAT)
+    assert parts[0].tolist() == [1] * len(whole[1]) and all((a == b).all() for a, b in zip(whole[1:], parts[1:]))
+
+
+def test_strings_that_polynomials_confuse(spark):
+    """Blocks in Thue-Morse order cancel out in any polynomial modulo a power of two; the bytes are compared here."""
+    order = [bin(i).count("1") % 2 for i in range(128)]
+    one, other = ("".join((a, b)[i] for i in order) + "-" * 16 for a, b in (("UTI", "Vts"), ("Vts", "UTI")))
+    rows = [(1, one), (2, other), (3, one[:-1])]
+    assert run(spark, rows) == brute(rows) and all(r[2] == 0 for r in run(spark, rows))
