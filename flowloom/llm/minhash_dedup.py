@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import Scratch
+from flowloom.llm.common import Scratch, unused
 from flowloom.llm.neardup import Similarity, linked
 
 
@@ -35,5 +35,6 @@ def drop_near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col
     Of a group the smallest id stays; of rows that share that id, as many as there are.
     Rows without an id stay.
     """
-    gone = near_duplicates(docs, how, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    scratch, gone = Scratch(docs.sparkSession), unused(docs, "gone")
+    found = near_duplicates(docs, how, id_col, text_col, scratch).where("not kept").select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(scratch.save(found), F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import Scratch
+from flowloom.llm.common import Scratch, of_ids
 from flowloom.llm.components import components
 from flowloom.llm.sketch import band_keys, shingle_sets, sketches
 
@@ -51,23 +51,21 @@ def sketched(units: DataFrame, how: Similarity) -> DataFrame:
     return units.select("id", "text").mapInPandas(work, "id long, n long, fp long, bands array<long>")
 
 
-def _sets_of(texts: DataFrame, how: Similarity) -> DataFrame:
-    """texts (text, n, and other columns) to the same with hashes array<long> in place of the text."""
-    rest = [c for c in texts.columns if c != "text"]
+def sets_of_texts(units: DataFrame, how: Similarity) -> Callable[[DataFrame], DataFrame]:
+    """Gives the full sets (id, hashes) of the units (id, text) in a written table of distinct ids."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = x[rest].copy()
-            out["hashes"] = [s.view(np.int64) for s in shingle_sets(x["text"].tolist(), how.width)]
-            yield out
+            for at in range(0, len(x), 500):
+                part = x.iloc[at : at + 500]
+                yield pd.DataFrame({"id": part["id"], "hashes": [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), how.width)]})
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*rest).schema)
-    return texts.mapInPandas(work, f"{schema}, hashes array<long>")
+    def sets(ids: DataFrame) -> DataFrame:
+        some = of_ids(units.select("id", "text"), ids, "id")
+        # rows that share an id count once
+        return some.mapInPandas(work, "id long, hashes array<long>").groupBy("id").agg(F.any_value("hashes").alias("hashes"))
 
-
-def _sets(ids: DataFrame, units: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
-    """The full sets (id, hashes, and other columns of ids) of the units in ids (id, ...), written: one read of all texts."""
-    return scratch.save(_sets_of(units.select("id", "text").join(ids, "id").dropDuplicates(["id"]), how))
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
@@ -76,23 +74,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, scratch: Scrat
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     alike = F.lit(100) * both >= F.lit(how.percent) * (F.size("ha") + F.size("hb") - both)
-    return scratch.save(pairs.join(right, "b").join(left, "a").where(alike).select("a", "b").distinct())
+    # nothing is aggregated behind the joins, so Spark can split the partition of a head that many meet
+    return scratch.save(pairs.join(right, "b").join(left, "a").where(alike).select("a", "b"))
 
 
 def _rebanded(sets: DataFrame, how: Similarity) -> DataFrame:
-    """(id, n, component, key) for each band of a second, larger sketch of sets."""
+    """(id, n, key) for each band of a second, larger sketch of sets (id, n, hashes)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for at in range(0, len(x), 1000):
-                part = x.iloc[at : at + 1000]
+            for at in range(0, len(x), 500):
+                part = x.iloc[at : at + 500]
                 keys = band_keys(sketches([h.view(np.uint64) for h in part["hashes"]], how.coordinates_2, seed=2), how.rows_2)
-                out = part[["id", "n", "component"]].copy()
-                out["keys"] = list(keys)
-                yield out
+                yield pd.DataFrame({"id": part["id"], "n": part["n"], "keys": pd.Series(list(keys), part.index, dtype=object)})
 
-    banded = sets.select("id", "n", "component", "hashes").mapInPandas(work, "id long, n long, component long, keys array<long>")
-    return banded.select("id", "n", "component", F.explode("keys").alias("key"))
+    banded = sets.select("id", "n", "hashes").mapInPandas(work, "id long, n long, keys array<long>")
+    return banded.select("id", "n", F.explode("keys").alias("key"))
 
 
 def _could(how: Similarity, a: str = "na", b: str = "nb"):
@@ -114,16 +111,18 @@ def linked(units: DataFrame, scratch: Scratch, how: Similarity = Similarity()) -
        copies with one test a member.
     3. Sets in buckets that still hold more than one component are banded again by
        a larger sketch with longer bands, which parts texts that only share a
-       passage. Of its buckets with more than one component, pairs between
-       components are verified: all of them in small buckets, and in large ones
-       those that share a rare shingle (see _rare_pairs). Within one component a
-       further link changes nothing.
+       passage. Its large buckets are gathered in rounds: one member after the
+       other, drawn by its hash, is held against those of other components, as
+       long as that links enough of them. Pairs between the components that are
+       left are verified: all of them in small buckets, and in large ones those
+       that share a rare shingle (see _rare_pairs). Within one component a further
+       link changes nothing.
     """
     sk = scratch.save(sketched(units, how))
     sets = scratch.save(
         sk.where("fp is not null and id is not null").groupBy("fp", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     )
-    final = link_keyed(sets.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key")), units, scratch, how)
+    final = link_keyed(sets.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key")), sets_of_texts(units, how), scratch, how)
     grouped = scratch.save(
         sets.select("fp", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("component"))
     )
@@ -138,41 +137,76 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "id"))
 
 
-def link_keyed(keyed: DataFrame, units: DataFrame, scratch: Scratch, how: Similarity) -> DataFrame:
+def link_keyed(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, how: Similarity) -> DataFrame:
     """Steps 2 and 3 of linked: (node, component) for the sets that links join.
 
-    keyed has (id, n, key) for each band of each set, units (id, text) for all ids;
-    rows of either may be repeated.
+    keyed has (id, n, key) for each band of each set, and may repeat rows; sets_of
+    gives the full sets (id, hashes) of the ids in a table.
     """
     heads = scratch.save(keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"))
     in_bucket = scratch.save(keyed.join(heads, "key").distinct())
     sizes = in_bucket.where("id = head").select("key", F.col("n").alias("head_n"))
     met = in_bucket.where("id <> head").join(sizes, "key").where(_could(how, "n", "head_n")).groupBy("id", "head").agg(F.count("*").alias("met"))
     first = scratch.save(met.groupBy("id").agg(F.max(F.struct("met", (-F.col("head")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), F.col("id").alias("b")))
-    full = _sets(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct(), units, how, scratch)
+    full = scratch.save(sets_of(scratch.save(in_bucket.select("id").distinct())))
     good = _verified(first, full, how, scratch)
-    scratch.drop(full, first)
+    scratch.drop(heads, first)
     label = components(good, scratch)
 
     labelled = scratch.save(_labelled(in_bucket.select("key", "id", "n"), label))
-    again = labelled.join(_mixed(labelled).select("key"), "key").select("id", "n", "component").distinct()
-    full = _sets(scratch.save(again), units, how, scratch)
+    again = scratch.save(labelled.join(_mixed(labelled).select("key"), "key").select("id", "n").distinct())
     scratch.drop(in_bucket, labelled)
-    in_bucket = scratch.save(_rebanded(full, how))
+    if again.isEmpty():
+        return label
+    full_again = scratch.save(full.join(again, "id"))
+    scratch.drop(full, again)
+    banded = scratch.save(_rebanded(full_again, how))
+    good, label = _gathered(banded, full_again, good, label, how, scratch)
+    in_bucket = scratch.save(_labelled(banded, label))
+    scratch.drop(banded)
     mixed = scratch.save(_mixed(in_bucket))
     open_ = scratch.save(in_bucket.join(mixed, "key"))
+    scratch.drop(in_bucket, mixed)
     side = lambda x: open_.where(F.col("held") <= how.small).select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where("a < b and ca <> cb").where(_could(how)).select("a", "b").distinct()
-    crowd = scratch.save(full.join(open_.where(F.col("held") > how.small).select("id").distinct(), "id"))
+    crowd = open_.where(F.col("held") > how.small).select("id", "component").distinct()
+    crowd = scratch.save(full_again.join(crowd, "id"))
     if not crowd.isEmpty():
         pairs = pairs.unionByName(_rare_pairs(crowd, how, scratch)).distinct()
     pairs = scratch.save(pairs)
-    more = _verified(pairs, full, how, scratch)
+    more = _verified(pairs, full_again, how, scratch)
     final = label if more.isEmpty() else components(good.unionByName(more), scratch)
-    scratch.drop(good, more, pairs, full, in_bucket, mixed, open_, crowd)
+    scratch.drop(more, pairs, full_again, open_, crowd)
     return final
 
 
+def _gathered(banded: DataFrame, sets: DataFrame, good: DataFrame, label: DataFrame, how: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The links and components with those that single members of large mixed buckets bring.
+
+    Each round a bucket holds one member, drawn by a hash of round and id, against its
+    members in other components: as many tests as members, where all pairs would be
+    their square. Rounds end when fewer than one test in twenty links.
+    """
+    turn = 0
+    while True:
+        now = scratch.save(_labelled(banded, label))
+        mixed = _mixed(now).where(F.col("held") > how.small)
+        drawn = F.min_by(F.struct("id", "n", "component"), F.xxhash64(F.lit(turn), "id")).alias("one")
+        heads = now.groupBy("key").agg(drawn).join(mixed.select("key"), "key").select("key", "one.id", "one.n", "one.component").toDF("key", "a", "na", "ca")
+        pairs = now.withColumnsRenamed({"id": "b", "n": "nb", "component": "cb"}).join(heads, "key").where("ca <> cb").where(_could(how))
+        pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tests = pairs.count()
+        more = _verified(pairs, sets, how, scratch)
+        links = more.count()
+        if links:
+            good = scratch.save(good.unionByName(more))
+            label = components(good, scratch)
+        scratch.drop(now, pairs, more)
+        if links * 20 <= tests:
+            return good, label
+        turn += 1
+
+
 def _mixed(in_bucket: DataFrame) -> DataFrame:
     """(key, held) of the buckets that hold more than one component."""
     stats = in_bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"))
