@@ -1,173 +1,155 @@
-"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding, exact sentences and exact runs of words."""
+"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding and by exact runs of words."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import Scratch
+from flowloom.llm.anchored import Strings, repeated_strings
+from flowloom.llm.common import Scratch, of_ids, unused
 from flowloom.llm.neardup import Similarity, link_keyed
-from flowloom.llm.sketch import band_keys, placed_words, run_hashes, shingle_sets, sketches
+from flowloom.llm.sketch import band_keys, distinct_shingles, placed_words, run_hashes, sketches, word_hashes
 
 #: 21 bands of 3: paragraphs at a similarity of 0.75 are missed with a probability of 1e-5.
 HOW = Similarity(coordinates=64, rows=3)
-LEAST_WORDS, SENTENCE_WORDS = 30, 8
-LINE, SENTENCE = 0, 1
-_LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s|\Z)|\Z)", re.S)
+LEAST_WORDS = 30
+#: Owners from here on stand for documents without an id.
+NO_ID = 1 << 62
+BACK, PHRASE = 12, 3
 
 
 def _keyed_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, id, text): k stands for id and text, so rows repeated in full are one document."""
+    """(k, owner, id, text): k stands for id and text, so rows repeated in full are one; owner is the id."""
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return read.select(F.xxhash64("id", "text").alias("k"), "id", "text")
+    read = read.select(F.xxhash64("id", "text").alias("k"), "id", "text")
+    return read.withColumn("owner", F.coalesce("id", F.lit(NO_ID) + F.shiftrightunsigned("k", 3)))
 
 
-def _paragraphs(text: str | None, least: int) -> list[tuple[int, int, str, int]]:
-    """(start, stop, content, words) of the lines of a text that have `least` words or more."""
-    found = ((m.start(), m.end(), m[0], len(m[0].split())) for m in _LINE.finditer(text or ""))
-    return [x for x in found if x[3] >= least]
-
-
-def _prints(sets: list[np.ndarray]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+def varied(h: np.ndarray, length: int) -> np.ndarray:
+    """For each run of `length` words whether it is more than a phrase over and over.
 
+    At most half of its phrases (PHRASE words) may have stood up to BACK words before.
+    Only words of the run itself are looked at.
+    """
+    phrase = run_hashes(h, PHRASE)
+    again = np.zeros(len(phrase), bool)
+    for back in range(1, BACK + 1):
+        again[back:] |= phrase[back:] == phrase[: len(phrase) - back]
+    total = np.concatenate(([0], np.cumsum(again)))
+    starts = np.arange(max(len(h) - length + 1, 0))
+    first, last = starts + min(BACK, length - PHRASE), starts + length - PHRASE + 1
+    return 2 * (total[last] - total[first]) <= last - first
 
-def _print(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
+def _word_runs(contexts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place, class) of all runs of `length` words: runs of one class have equal hashes."""
+    sizes = np.array([len(c) for c in contexts])
+    joined = np.concatenate(contexts)
+    kind = run_hashes(joined, length).view(np.int64)
+    owner = np.repeat(np.arange(len(contexts)), sizes)[: len(kind)]
+    ends = np.cumsum(sizes)
+    at = np.flatnonzero((np.arange(len(kind)) + length <= ends[owner]) & varied(joined, length))
+    return owner[at], at - (ends - sizes)[owner[at]], kind[at]
 
-def _lines(docs: DataFrame, least: int, how: Similarity, keys: bool) -> DataFrame:
-    """Of every paragraph the print of its shingle set, with its size and band keys, or with its text."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            # equal lines of a batch count once: the rest of a large group of copies is met by its print
-            lines = list(dict.fromkeys(c for text in x["text"] for _, _, c, _ in _paragraphs(text, least)))
-            for at in range(0, len(lines), 5000):
-                part = lines[at : at + 5000]
-                sets = shingle_sets(part, how.width)
-                if keys:
-                    yield pd.DataFrame({"id": _prints(sets), "n": [len(s) for s in sets], "keys": list(band_keys(sketches(sets, how.coordinates), how.rows))})
-                else:
-                    yield pd.DataFrame({"id": _prints(sets), "text": part})
+def _runs(least: int) -> Strings:
+    return Strings(length=least, gram=min(8, max(least // 2, 1)), across=True, symbols=word_hashes, classes=_word_runs, plain=varied)
 
-    out = docs.select("text").mapInPandas(work, "id long, n long, keys array<long>" if keys else "id long, text string")
-    return out.select("id", "n", F.explode("keys").alias("key")) if keys else out
 
+def _paragraph_rows(docs: DataFrame, least: int, how: Similarity) -> DataFrame:
+    """(k, owner, start, stop, n, id, keys) of every paragraph: its words, its set's size and print, and its band keys.
 
-def _units(docs: DataFrame, least: int, how: Similarity) -> DataFrame:
-    """(k, id, kind, idx, start, stop, words, fp) of every paragraph and every sentence of SENTENCE_WORDS or more.
-
-    What stands between two such sentences is a unit too, whose print holds the
-    sentence before it: it is repeated only where another document goes on alike.
+    Of equal sets in a batch one has the keys: the rest of a large group of copies is met by its print.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows, long_ = [], []
-            for k, doc, text in zip(x["k"].array, x["id"].array, x["text"], strict=True):
-                for i, (start, stop, content, words) in enumerate(_paragraphs(text, least)):
-                    long_.append((k, doc, LINE, i, start, stop, words, content))
-                idx, last, between = 0, "", []
-                for line in _LINE.finditer(text or ""):
-                    for m in _SENTENCE.finditer(line[0]):
-                        words = m[0].lower().split()
-                        start, stop = line.start() + m.start(), line.start() + m.end()
-                        if len(words) < SENTENCE_WORDS:
-                            # before the first long sentence there is nothing to go on from
-                            between += [(start, stop, words)] if last else []
-                            continue
-                        if between:
-                            after = [w for _, _, ws in between for w in ws]
-                            rows.append((k, doc, SENTENCE, idx, between[0][0], between[-1][1], len(after), _print(f"{last}\n{' '.join(after)}")))
-                            idx, between = idx + 1, []
-                        last = " ".join(words)
-                        rows.append((k, doc, SENTENCE, idx, start, stop, len(words), _print(last)))
-                        idx += 1
-            prints = _prints(shingle_sets([r[7] for r in long_], how.width))
-            rows += [(*r[:7], fp) for r, fp in zip(long_, prints, strict=True)]
-            out = pd.DataFrame(rows, columns=["k", "id", "kind", "idx", "start", "stop", "words", "fp"])
-            out["id"] = pd.array(out["id"], "Int64")
-            yield out
-
-    return docs.mapInPandas(work, "k long, id long, kind int, idx int, start int, stop int, words int, fp long")
-
-
-def _windows(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, window, anchor) of each run of `least` words: its characters, its hash, and that of its anchor.
-
-    The anchor is the run of half as many words in it with the least hash, so equal
-    windows have equal anchors, and one anchor serves many windows in a row.
-    """
-    start, stop, h = placed_words(text or "")
-    if len(h) < least:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    half = run_hashes(h, (least + 1) // 2)
-    anchor = np.lib.stride_tricks.sliding_window_view(half, least - (least + 1) // 2 + 1).min(axis=1)
-    return start[: len(anchor)], stop[least - 1 :], run_hashes(h, least).view(np.int64), anchor.view(np.int64)
-
-
-def _shared_runs(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """(k, id, start, stop, words, first) of the longest runs of words of which every `least` in a row stand in an earlier document.
+            known: set[int] = set()
+            for at in range(0, len(x), 256):
+                part = x.iloc[at : at + 256]
+                lines = [t.split("\n") if t else [] for t in part["text"]]
+                hashes = word_hashes([line for doc in lines for line in doc])
+                sizes = np.array([len(h) for h in hashes], np.int64)
+                doc = np.repeat(np.arange(len(part)), [len(d) for d in lines])
+                stop = np.cumsum(sizes)
+                before = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=sizes, minlength=len(part)).astype(np.int64))))
+                long_ = np.flatnonzero(sizes >= least)
+                sets = [distinct_shingles(hashes[i], how.width) for i in long_]
+                keep = [j for j, i in enumerate(long_) if 2 * len(sets[j]) >= sizes[i] - how.width + 1]
+                sets, long_ = [sets[j] for j in keep], long_[keep]
+                prints = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                new = [j for j, p in enumerate(prints) if not (p in known or known.add(p))]
+                keys: list[np.ndarray | None] = [None] * len(sets)
+                for j, k in zip(new, band_keys(sketches([sets[j] for j in new], how.coordinates), how.rows) if new else (), strict=True):
+                    keys[j] = k
+                of = doc[long_]
+                yield pd.DataFrame({
+                    "k": part["k"].to_numpy(np.int64)[of], "owner": part["owner"].to_numpy(np.int64)[of], "start": (stop - sizes)[long_] - before[of], "stop": stop[long_] - before[of],
+                    "n": np.array([len(s) for s in sets], np.int64), "id": np.array(prints, np.int64), "keys": pd.Series(keys, dtype=object),
+                })
+
+    return docs.select("k", "owner", "text").mapInPandas(work, "k long, owner long, start int, stop int, n long, id long, keys array<long>")
+
+
+def _sets_of_paragraphs(docs: DataFrame, paragraphs: DataFrame, how: Similarity, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+    """Gives the full sets (id, hashes) of the paragraphs in a table of ids: one place of each is read."""
 
-    Runs may start and end anywhere and go on over line ends. Windows whose anchor
-    only one document has can't repeat and are never dealt out; the others are
-    compared by 64-bit hashes.
-    """
-
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = [np.unique(_windows(t, least)[3]) for t in x["text"]]
-            yield pd.DataFrame({"k": np.repeat(x["k"].to_numpy(np.int64), [len(a) for a in found]), "anchor": np.concatenate([np.empty(0, np.int64), *found])})
+            for at in range(0, len(x), 256):
+                part = x.iloc[at : at + 256]
+                out = [(w["id"], distinct_shingles(h[w["start"] : w["stop"]], how.width).view(np.int64)) for h, wanted in zip(word_hashes(part["text"].tolist()), part["wanted"], strict=True) for w in wanted]
+                yield pd.DataFrame(out, columns=["id", "hashes"])
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for k, doc, text, shared in zip(x["k"].array, x["id"].array, x["text"], x["shared"], strict=True):
-                start, stop, window, anchor = _windows(text, least)
-                at = np.flatnonzero(np.isin(anchor, shared))
-                out = pd.DataFrame({"k": k, "i": at, "start": start[at], "stop": stop[at], "window": window[at]})
-                out.insert(1, "id", pd.array([None if pd.isna(doc) else int(doc)] * len(at), "Int64"))
-                yield out
-
-    seen = scratch.save(docs.select("k", "text").mapInPandas(anchors, "k long, anchor long"))
-    shared = seen.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("anchor")
-    held = seen.join(shared, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("shared"))
-    dealt = scratch.save(docs.join(held, "k").mapInPandas(windows, "k long, id long, i int, start int, stop int, window long"))
-    repeated = dealt.groupBy("window").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    found = dealt.join(repeated.where("lo < hi").select("window", "first"), "window").where("k <> first.k")
-    # rows repeated in full have equal places
-    runs = found.withColumn("run", F.col("i") - F.dense_rank().over(Window.partitionBy("k").orderBy("i")))
-    words = (F.max("i") - F.min("i") + least).cast("long")
-    return runs.groupBy("k", "id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), words.alias("words"), F.min("first.id").alias("first")).drop("run")
+    def sets(ids: DataFrame) -> DataFrame:
+        places = paragraphs.join(ids, "id").groupBy("id").agg(F.min(F.struct("k", "start", "stop")).alias("at"))
+        wanted = scratch.save(places.select("id", "at.*").groupBy("k").agg(F.collect_list(F.struct("id", "start", "stop")).alias("wanted")))
+        some = of_ids(docs.select("k", "text"), wanted, "k").join(wanted, "k").select("text", "wanted")
+        return some.mapInPandas(work, "id long, hashes array<long>").groupBy("id").agg(F.any_value("hashes").alias("hashes"))
+
+    return sets
 
 
 def _spans(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> DataFrame:
-    """(k, id, start, stop, words, first) of all that is to go, disjoint within a document."""
-    label = link_keyed(_lines(docs, least, how, True), _lines(docs, least, how, False), scratch, how)
-    units = scratch.save(_units(docs, least, how))
-    # a line's group is its component, a sentence's its print
-    grouped = units.join(label.select(F.col("node").alias("fp"), F.lit(LINE).alias("kind"), "component"), ["fp", "kind"], "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "fp"))
-    repeated = grouped.groupBy("kind", "component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    repeated = scratch.save(repeated.where("lo < hi").select("kind", "component", "first"))
-    grouped = scratch.save(grouped) if not label.isEmpty() else grouped
-    found = scratch.save(grouped.join(repeated, ["kind", "component"]).where("k <> first.k").select("k", "id", "kind", "idx", "start", "stop", "words", F.col("first.id").alias("first")).distinct())
-    in_order = Window.partitionBy("k").orderBy("idx")
-    runs = found.where(F.col("kind") == SENTENCE).withColumn("run", F.col("idx") - F.row_number().over(in_order))
-    runs = runs.groupBy("k", "id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("first").alias("first")).where(F.col("words") >= least)
-    lines = found.where(F.col("kind") == LINE).select("k", "id", "start", "stop", F.col("words").cast("long").alias("words"), "first")
-    spans = scratch.save(lines.unionByName(runs.drop("run")).unionByName(_shared_runs(docs, least, scratch)))
-    so_far = F.max("stop").over(Window.partitionBy("k").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("opens", F.when(F.coalesce(F.col("start") > so_far, F.lit(True)), 1).otherwise(0))
-    opened = opened.withColumn("span", F.sum("opens").over(Window.partitionBy("k").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, 0)))
-    return scratch.save(opened.groupBy("k", "id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("words").alias("words"), F.min("first").alias("first")).drop("span"))
+    """(k, spans) with the words (start, stop, first) that are to go from each document; spans may overlap."""
+    rows = scratch.save(_paragraph_rows(docs, least, how))
+    keyed = rows.where("keys is not null").select("id", "n", F.explode("keys").alias("key"))
+    label = link_keyed(keyed, _sets_of_paragraphs(docs, rows, how, scratch), scratch, how)
+    grouped = rows.select("k", "owner", "start", "stop", "id").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = scratch.save(grouped)
+    repeated = grouped.groupBy("component").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last").drop("last")
+    lines = scratch.save(grouped.join(repeated, "component").where("owner <> first").select("k", "start", "stop", "first"))
+    scratch.drop(rows, grouped)
+    runs = repeated_strings(docs, _runs(least), scratch).where("owner <> first").select("k", "start", "stop", "first")
+    return scratch.save(lines.unionByName(runs).groupBy("k").agg(F.collect_set(F.struct("start", "stop", "first")).alias("spans")))
+
+
+def _passages(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> DataFrame:
+    """(k, id, start, stop, words, first) of all that is to go, in characters, disjoint within a document."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for k, doc, text, spans in zip(x["k"].tolist(), x["id"].array, x["text"], x["spans"], strict=True):
+                begin, end, _ = placed_words(text)
+                merged: list[list[int]] = []
+                for a, b, first in sorted((s["start"], s["stop"], s["first"]) for s in spans):
+                    if merged and a < merged[-1][1]:
+                        merged[-1][1:] = max(merged[-1][1], b), min(merged[-1][2], first)
+                    else:
+                        merged.append([a, b, first])
+                out += [(k, None if pd.isna(doc) else int(doc), int(begin[a]), int(end[b - 1]), b - a, None if first >= NO_ID else first) for a, b, first in merged]
+            made = pd.DataFrame(out, columns=["k", "id", "start", "stop", "words", "first"])
+            yield made.astype({"id": "Int64", "first": "Int64"})
+
+    spans = _spans(docs, least, how, scratch)
+    found = docs.select("k", "id", "text").join(spans, "k").mapInPandas(work, "k long, id long, start int, stop int, words long, first long")
+    return scratch.save(found)
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, how: Similarity = HOW, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -175,28 +157,29 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, how: Simi
 
     Every run of least_words or more that a document with a smaller id has too goes,
     without case (A-Z), wherever it starts and ends and over line ends. Paragraphs
-    are lines of least_words or more. Those whose word shingles are
-    similar (0.75 or more, directly or in a chain) form a component; so do equal
-    sentences of SENTENCE_WORDS or more, without case. The document of the smallest
-    id in a component keeps its own; from the others go similar paragraphs, and
-    runs of repeated sentences of least_words together, with the shorter sentences
-    between them only if they follow the same sentence there too. Repeats within one document stay. Null, empty and short texts
-    have no passages. Rows repeated in full count as one document; null ids come
-    last. Other columns are not used; an empty table gives an empty table.
+    are lines of least_words or more; those whose word shingles are similar (0.75 or
+    more, directly or in a chain) form a component, and the document of the smallest
+    id in it keeps its own. Runs and lines that are mostly one phrase over and over
+    (see varied) are no passages. Repeats within one document, and between rows that
+    share an id, stay. Null, empty and short texts have no passages. Rows repeated in
+    full give equal rows; null ids come last. Other columns are not used, whatever
+    their names; an empty table gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    spans = _spans(_keyed_docs(docs, id_col, text_col), least_words, how, scratch)
-    return spans.select(F.col("id").alias(id_col), "start", "stop", F.col("words").alias("n_words"), F.col("first").alias("first_doc_id"))
+    found = _passages(_keyed_docs(docs, id_col, text_col), least_words, how, scratch)
+    return found.select(F.col("id").alias(id_col), "start", "stop", F.col("words").alias("n_words"), F.col("first").alias("first_doc_id")).distinct()
 
 
 def drop_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, how: Similarity = HOW, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """docs with the passages of repeated_passages cut out of the texts; rows and other columns stay as they are."""
     scratch = scratch or Scratch(docs.sparkSession)
-    spans = _spans(_keyed_docs(docs, id_col, text_col), least_words, how, scratch)
-    cuts = spans.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts")).withColumnRenamed("k", "__k")
-    joined = docs.withColumn("__k", F.xxhash64(F.col(id_col).cast("long"), text_col)).join(scratch.save(cuts), "__k", "left")
+    found = _passages(_keyed_docs(docs, id_col, text_col), least_words, how, scratch)
+    cuts = scratch.save(found.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts")))
+    key, made = unused(docs, "k"), unused(docs, "cuts")
+    joined = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text_col)).join(cuts.toDF(key, made), key, "left")
     # what lies before the first cut, between cuts and behind the last one
-    stops = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda c: c["stop"]))
-    starts = F.concat(F.transform("__cuts", lambda c: c["start"]), F.array(F.length(text_col)))
+    stops = F.concat(F.array(F.lit(0)), F.transform(made, lambda c: c["stop"]))
+    starts = F.concat(F.transform(made, lambda c: c["start"]), F.array(F.length(text_col)))
     left = F.zip_with(stops, starts, lambda a, b: F.substring(F.col(text_col), a + 1, b - a))
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.concat_ws("", left))).select(*docs.columns)
+    kept = F.when(F.col(made).isNull(), F.col(text_col)).otherwise(F.concat_ws("", left))
+    return joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
