@@ -22,7 +22,7 @@ from flowloom.llm.common import Scratch
 from flowloom.llm.sketch import U, loads, run_hashes
 
 #: Symbols that are looked at together (their hashes fit a processor's cache), and those of the contexts that one call compares.
-CHUNK, BATCH = 1 << 16, 300_000
+CHUNK, BATCH = 1 << 16, 40_000
 PARTS = 8
 
 
@@ -41,7 +41,7 @@ class Strings:
     symbols: Callable[[list[str | None]], list[np.ndarray]]
     classes: Callable[[list[np.ndarray], int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     plain: Callable[[np.ndarray, int], np.ndarray] | None = None
-    held: int = 400
+    held: int = 2000
 
     @property
     def reach(self) -> int:
@@ -174,14 +174,18 @@ def repeated_in(items: pd.DataFrame, what: Strings) -> pd.DataFrame:
     item, start, cls = what.classes(raw, what.length)
     col = lambda c: items[c].to_numpy(np.int64)
     o = col("off")[item] - start
-    ok = (o >= col("lo_o")[item]) & (o <= col("hi_o")[item])
+    twice = col("lo") < col("hi") if what.across else col("copies") > 1
+    _, cls, often = np.unique(cls, return_inverse=True, return_counts=True)
+    ok = (o >= col("lo_o")[item]) & (o <= col("hi_o")[item]) & ((often[cls] > 1) | twice[item])
     item, start, cls, o = item[ok], start[ok], cls[ok], o[ok]
     if not len(item):
         return pd.DataFrame({c: np.empty(0, np.int64) for c in ("grp", "c1", "c2", "a", "b", "first")})
-    group = col("grp")[item]
-    by = np.lexsort((o, cls, group))
-    item, start, cls, o, group = item[by], start[by], cls[by], o[by], group[by]
-    new = np.concatenate(([True], (group[1:] != group[:-1]) | (o[1:] != o[:-1]) | (cls[1:] != cls[:-1])))
+    _, group = np.unique(col("grp"), return_inverse=True)
+    # a group, a class and a place around the anchor as one number
+    key = (group[item] * len(often) + cls) * (what.reach + 1) + o
+    by = np.argsort(key)
+    item, start, key = item[by], start[by], key[by]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
     number, heads = np.cumsum(new) - 1, np.flatnonzero(new)
     lo, hi = np.minimum.reduceat(col("lo")[item], heads), np.maximum.reduceat(col("hi")[item], heads)
     hit = (lo < hi if what.across else np.add.reduceat(col("copies")[item], heads) > 1)[number]

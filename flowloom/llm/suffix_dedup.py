@@ -29,31 +29,36 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
-    by = sample[order]
-    new = np.concatenate([[True], (t[by[1:]] != t[by[:-1]]) | (t[by[1:] + 1] != t[by[:-1] + 1]) | (t[by[1:] + 2] != t[by[:-1] + 2])])
+    bits = int(t.max()).bit_length()
+    assert 3 * bits < 64, "three symbols fit one number: texts are sorted in batches"
+    triple = (t[sample] << 2 * bits) | (t[sample + 1] << bits) | t[sample + 2]
+    order = np.argsort(triple)
+    triple = triple[order]
     names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(new)
+    names[order] = np.cumsum(np.concatenate([[True], triple[1:] != triple[:-1]]))
     if names[order[-1]] < len(sample):
         order = suffix_array(names)
+    by = sample[order]
     rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
-    sorted_sample = sample[order][sample[order] < n]
+    rank[by] = np.arange(1, len(by) + 1)
+    by = by[by < n]
+    wide = (len(sample) + 1).bit_length()
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
+    key = (t[rest] << wide) | rank[rest + 1]
+    turn = np.argsort(key)
+    rest, key = rest[turn], key[turn]
     # the place of a remaining suffix: how many sampled ones of either kind come before it
-    wide = max(len(sample) + 2, int(t.max()) + 2)
-    ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    key1 = lambda i: t[i] * wide + rank[i + 1]
-    key2 = lambda i: (t[i] * wide + t[i + 1]) * wide + rank[i + 2]
-    assert wide < 1 << 21, "texts are sorted in batches"
-    before = np.searchsorted(key1(ones), key1(rest)) + np.searchsorted(key2(twos), key2(rest))
+    ones, twos = by[by % 3 == 1], by[by % 3 == 2]
+    before = np.searchsorted((t[ones] << wide) | rank[ones + 1], key)
+    pair = lambda i: (((t[i] << bits) | t[i + 1]) << wide) | rank[i + 2]
+    assert 2 * bits + wide < 64, "texts are sorted in batches"
+    before += np.searchsorted(pair(twos), pair(rest))
     out = np.empty(n, np.int64)
     at = before + np.arange(len(rest))
     out[at] = rest
     free = np.ones(n, bool)
     free[at] = False
-    out[free] = sorted_sample
+    out[free] = by
     return out
 
 
@@ -62,18 +67,44 @@ def common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> n
     eight = loads(s)
     same = np.ones(len(a), bool)
     left = np.arange(len(a))
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+    for at in [length - 8, *range(0, length - 8, 8)]:
         equal = eight[a[left] + at] == eight[b[left] + at]
         same[left[~equal]] = False
         left = left[equal]
     return same
 
 
+def equal_neighbours(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether the `length` bytes of s from each place in order equal those from the place before it in order.
+
+    Where the strings one byte earlier are neighbours too and equal, only the last
+    byte is left to compare; all others are compared throughout.
+    """
+    before = np.full(len(s) + 1, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    a = np.flatnonzero(before >= 0)
+    b = before[a]
+    chained = np.concatenate(([False], (np.diff(a) == 1) & (np.diff(b) == 1)))
+    same = np.zeros(len(a), bool)
+    head = np.flatnonzero(~chained)
+    same[head] = common_prefix(s, a[head], b[head], length)
+    broken = np.cumsum(chained & (s[a + length - 1] != s[b + length - 1]))
+    of = head[np.cumsum(~chained) - 1] if len(a) else head
+    broken = broken - broken[of]
+    same |= same[of] & (broken == 0)
+    # behind the first difference the strings hold it for a while, and may be equal again
+    open_ = np.flatnonzero(chained & ~same)
+    same[open_] = common_prefix(s, a[open_], b[open_], length)
+    out = np.zeros(len(s) + 1, bool)
+    out[a] = same
+    return out[order]
+
+
 def sorted_strings(contexts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, place, class) of all strings of `length` bytes: those whose bytes are equal are of one class.
 
     One suffix array is built over all contexts, each closed by a symbol of its own.
-    Equal strings stand together in it; each is compared with its neighbour byte by byte.
+    Equal strings stand together in it; each is compared with its neighbour by bytes.
     """
     sizes = np.array([len(c) + 1 for c in contexts])
     joined = np.concatenate([np.append(c, np.uint8(0)) for c in contexts])
@@ -83,9 +114,7 @@ def sorted_strings(contexts: list[np.ndarray], length: int) -> tuple[np.ndarray,
     symbols[ends - 1] = 257 + np.arange(len(contexts))
     order = suffix_array(symbols)
     order = order[order + length < ends[owner[order]]]
-    if not len(order):
-        return order, order, order
-    kind = np.cumsum(~np.concatenate(([False], common_prefix(joined, order[1:], order[:-1], length))))
+    kind = np.cumsum(~equal_neighbours(joined, order, length)) if len(order) else order
     return owner[order], order - (ends - sizes)[owner[order]], kind
 
 
