@@ -16,14 +16,19 @@ from flowloom.llm.components import components
 from flowloom.llm.sketch import band_keys, shingle_sets, sketches
 
 
+#: Counters of shingles by which a crowd's shingles are ordered: 8 MB.
+COUNTERS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles.
 
     coordinates / rows bands: at a similarity of 0.75, 32 bands of 4 miss a pair with
-    a probability of 5e-6, and the second sketch's 128 bands of 8 with one of 1e-6.
-    Buckets of at most `small` texts have all their pairs tested; larger ones go
-    through an exact prefix filter, so no bucket is capped.
+    a probability of 5e-6. The second sketch's 128 bands of 8 must agree in met_2
+    bands at least, which misses such a pair with 2e-5 (13 bands are expected, at 0.5
+    half a band). Buckets of at most `small` texts have all their pairs looked at;
+    larger ones go through an exact prefix filter, so no bucket is capped.
     """
 
     width: int = 5
@@ -32,6 +37,7 @@ class Similarity:
     rows: int = 4
     coordinates_2: int = 1024
     rows_2: int = 8
+    met_2: int = 2
     small: int = 32
 
 
@@ -160,15 +166,19 @@ def link_keyed(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scra
         return label
     full_again = scratch.save(full.join(again, "id"))
     scratch.drop(full, again)
-    banded = scratch.save(_rebanded(full_again, how))
-    good, label = _gathered(banded, full_again, good, label, how, scratch)
-    in_bucket = scratch.save(_labelled(banded, label))
+    every = scratch.save(_rebanded(full_again, how))
+    held = scratch.save(every.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
+    banded = scratch.save(every.join(held, "key"))
+    scratch.drop(every, held)
+    good, label = _gathered(banded.where(F.col("held") > how.small).drop("held"), full_again, good, label, how, scratch)
+    in_bucket = scratch.save(_labelled(banded.drop("held"), label))
     scratch.drop(banded)
     mixed = scratch.save(_mixed(in_bucket))
     open_ = scratch.save(in_bucket.join(mixed, "key"))
     scratch.drop(in_bucket, mixed)
     side = lambda x: open_.where(F.col("held") <= how.small).select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
-    pairs = side("a").join(side("b"), "key").where("a < b and ca <> cb").where(_could(how)).select("a", "b").distinct()
+    pairs = side("a").join(side("b"), "key").where("a < b and ca <> cb").where(_could(how)).groupBy("a", "b").agg(F.count("*").alias("met"))
+    pairs = pairs.where(F.col("met") >= how.met_2).select("a", "b")
     crowd = open_.where(F.col("held") > how.small).select("id", "component").distinct()
     crowd = scratch.save(full_again.join(crowd, "id"))
     if not crowd.isEmpty():
@@ -196,6 +206,8 @@ def _gathered(banded: DataFrame, sets: DataFrame, good: DataFrame, label: DataFr
         pairs = now.withColumnsRenamed({"id": "b", "n": "nb", "component": "cb"}).join(heads, "key").where("ca <> cb").where(_could(how))
         pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         tests = pairs.count()
+        if not tests:
+            return good, label
         more = _verified(pairs, sets, how, scratch)
         links = more.count()
         if links:
@@ -213,24 +225,51 @@ def _mixed(in_bucket: DataFrame) -> DataFrame:
     return stats.where("lo < hi").select("key", "held")
 
 
+def _counted(crowd: DataFrame) -> np.ndarray:
+    """How many shingles of crowd's hashes fall in each of COUNTERS counters: what comes to the driver has a fixed size."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = np.zeros(COUNTERS, np.int64)
+        for x in batches:
+            for h in x["hashes"]:
+                np.add.at(often, h & (COUNTERS - 1), 1)
+        at = np.flatnonzero(often)
+        yield pd.DataFrame({"counter": at, "often": often[at]})
+
+    out = np.zeros(COUNTERS, np.int64)
+    found = crowd.select("hashes").mapInPandas(work, "counter long, often long").groupBy("counter").agg(F.sum("often").alias("often")).toPandas()
+    out[found["counter"].to_numpy()] = found["often"].to_numpy()
+    return out
+
+
 def _rare_pairs(crowd: DataFrame, how: Similarity, scratch: Scratch) -> DataFrame:
     """Pairs (a < b) between components of crowd (id, n, component, hashes) that share one of their rarest shingles.
 
     Prefix filter: with the shingles of every set in one order, two sets that are
-    similar enough share one of the first n - ceil(percent * n / 100) + 1. Taking
-    them from the rarest on leaves out what a crowd has in common. What comes after
-    the first shared shingle bounds the overlap, which rules out most pairs that
-    share one passage (positional filter). Shingles seen in one component only are
-    dropped, and for the others the members outside the shingle's most frequent
-    component are joined with all its members.
+    similar enough share one of the first n - ceil(percent * n / 100) + 1. Any order
+    serves; going by counters that shingles share, from the rarest on, leaves out
+    what a crowd has in common. What comes after the first shared shingle bounds the
+    overlap, which rules out most pairs that share one passage (positional filter).
+    Shingles seen in one component only are dropped, and for the others the members
+    outside the shingle's most frequent component are joined with all its members.
     """
-    each = scratch.save(crowd.select("id", "n", "component", F.explode("hashes").alias("shingle")))
-    often = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("often")))
-    ranked = each.join(often, "shingle").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"))
-    first = F.expr(f"slice(order, 1, cast(n - ceil({how.percent} * n / 100) + 1 as int))")
-    prefix = ranked.select("id", "n", "component", F.posexplode(first).alias("at", "x"))
-    prefix = scratch.save(prefix.select("id", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "x.shingle"))
-    scratch.drop(each, often)
+    often = crowd.sparkSession.sparkContext.broadcast(_counted(crowd))
+    percent = how.percent
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for at in range(0, len(x), 500):
+                part, first = x.iloc[at : at + 500], []
+                for h in part["hashes"]:
+                    keep = len(h) - -(-percent * len(h) // 100) + 1
+                    first.append(h[np.lexsort((h, often.value[h & (COUNTERS - 1)]))[:keep]])
+                sizes = [len(f) for f in first]
+                place = np.concatenate([np.arange(n) for n in sizes])
+                repeated = {c: np.repeat(part[c].to_numpy(np.int64), sizes) for c in ("id", "component", "n")}
+                yield pd.DataFrame({**repeated, "rest": repeated["n"] - place, "shingle": np.concatenate(first)})
+
+    prefix = crowd.select("id", "component", "n", "hashes").mapInPandas(work, "id long, component long, n long, rest long, shingle long")
+    prefix = scratch.save(prefix)
     held = prefix.groupBy("shingle", "component").agg(F.count("*").alias("held")).groupBy("shingle")
     hub = scratch.save(held.agg(F.max_by("component", F.struct("held", "component")).alias("hub"), F.count("*").alias("kinds")).where("kinds > 1").select("shingle", "hub"))
     mixed = scratch.save(prefix.join(hub, "shingle"))
