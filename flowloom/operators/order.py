@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.errors import ConfigurationError
 from flowloom.operators.rows import Flows
+from flowloom.shared import kept, spare
 
 
 def sort_rows(df: DataFrame, criteria: list[dict[str, str]]) -> DataFrame:
@@ -27,36 +28,40 @@ def sort_rows(df: DataFrame, criteria: list[dict[str, str]]) -> DataFrame:
 def numbered(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """df with its row number from 1 by order_by, found without gathering all rows in one task.
 
-    Rows are sorted by range; a table of one row for each partition holds how many come before.
+    Rows are sorted by range, and a table of one row for each partition holds how many
+    come before. The bounds of the ranges are sampled, so the sorted rows are kept
+    once: both the counts and the numbers come from the same partitions.
     """
     if not order_by:
         raise ConfigurationError("positions need an order")
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by]
-    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    before = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("held")).orderBy("__part").collect()  # one row for each partition
+    at, part, start = spare(df, "at"), spare(df, "part"), spare(df, "start")
+    placed = kept(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
+    placed = placed.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33))
+    before = placed.groupBy(part).agg(F.count(F.lit(1)).alias("held")).orderBy(part).collect()  # one row for each partition
     starts, total = [], 0
     for r in before:
-        starts.append((r["__part"], total))
+        starts.append((r[part], total))
         total += r["held"]
-    start = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "__part long, __start long"))
-    return placed.join(start, "__part").withColumn(name, F.col("__start") + F.col("__at") - F.shiftleft("__part", 33) + 1).drop("__part", "__start", "__at")
+    held = F.broadcast(spark.createDataFrame(starts or [(0, 0)], f"{part} long, {start} long"))
+    return placed.join(held, part).withColumn(name, F.col(start) + F.col(at) - F.shiftleft(part, 33) + 1).drop(part, start, at)
 
 
 def sample_rows(df: DataFrame, positions: str, order_by: list[str]) -> Flows:
     """main: the rows at positions like "1,5,10..20" by order_by; reject: the others."""
-    found = []
+    found, at = [], spare(df, "position")
     for part in filter(None, (x.strip() for x in positions.split(","))):
         lo, _, hi = part.partition("..")
         if not re.fullmatch(r"\d+", lo) or hi and not re.fullmatch(r"\d+", hi):
             raise ConfigurationError(f"not a position: {part!r}")
-        found.append(F.col("__n").between(int(lo), int(hi or lo)))
+        found.append(F.col(at).between(int(lo), int(hi or lo)))
     hit = F.lit(False)
     for x in found:
         hit = hit | x
-    rows = numbered(df, order_by, "__n")
-    return {"main": rows.where(hit).drop("__n"), "reject": rows.where(~hit).drop("__n")}
+    rows = numbered(df, order_by, at)
+    return {"main": rows.where(hit).drop(at), "reject": rows.where(~hit).drop(at)}
 
 
 def paginate(df: DataFrame, account: str, amount: str, flag: str, opening: str, sort_columns: list[str], page_size: int = 10000, debit: str = "D") -> DataFrame:
@@ -87,6 +92,14 @@ def last_rows(df: DataFrame, count: int, order_by: list[str]) -> dict[str, objec
     return {f"{c}_{i}": (found[i][c] if i < len(found) else None) for i in range(count) for c in df.columns}
 
 
-def sequence(start: int = 1, step: int = 1, order_by: list[str] | None = None, partition_by: list[str] = ()) -> Column:
-    """start, start + step and so on within each partition_by group, by order_by."""
-    return F.lit(start) + (F.row_number().over(Window.partitionBy(*partition_by).orderBy(*(order_by or []))) - 1) * step
+def number_rows(df: DataFrame, name: str, order_by: list[str], start: int = 1, step: int = 1) -> DataFrame:
+    """df with start, start + step and so on over all rows by order_by."""
+    at = spare(df, "position")
+    return numbered(df, order_by, at).withColumn(name, F.lit(start) + (F.col(at) - 1) * step).drop(at)
+
+
+def sequence(start: int, step: int, order_by: list[str], partition_by: list[str]) -> Column:
+    """start, start + step and so on within each partition_by group, by order_by; number_rows numbers a whole table."""
+    if not partition_by:
+        raise ConfigurationError("without groups use number_rows, which does not gather all rows in one task")
+    return F.lit(start) + (F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)) - 1) * step

@@ -1,4 +1,4 @@
-"""File readers; each keeps whole-line order in a hidden number where heads, feet or limits need it."""
+"""File readers."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators.extract import extract_json, extract_xml
-from flowloom.operators.order import numbered
 from flowloom.operators.reshape import _literal
 from flowloom.operators.rows import Flows
 from flowloom.plans.schema import Field, converted
+from flowloom.shared import spare
 
 
 #: Character sets that Spark decodes, and where ISO-8859-15 differs from ISO-8859-1.
@@ -38,27 +38,42 @@ def _decoded(content: Column, encoding: str) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, row_separator: str = "\n", encoding: str = "UTF-8", header: int = 0, footer: int = 0, limit: int | None = None, remove_empty: bool = True) -> DataFrame:
-    """The lines of one file or of all below a path as `value`, without the first `header` and last `footer`, at most `limit`.
+    """The lines of one file or of all below a path as `value`, each file without its first `header` and last `footer`, at most `limit` in all, in the order of paths.
 
-    Lines are only numbered where that is asked for.
+    Lines are only counted where that is asked for, by the blocks in which Spark reads
+    files; only in blocks where a head, a foot or the limit ends are lines numbered.
     """
     lines = spark.read.option("lineSep", row_separator).text(path)
+    counted = header or footer or limit is not None
+    if counted:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
     if encoding.upper() not in ("UTF-8", "UTF8"):
         lines = lines.withColumn("value", _decoded(F.col("value").cast("binary"), encoding))
     lines = lines.withColumn("value", F.regexp_replace("value", r"\r$", "")) if row_separator == "\n" else lines
-    if header or footer or limit is not None:
-        placed = lines.withColumn("__file", F.input_file_name()).withColumn("__id", F.monotonically_increasing_id())
-        lines = numbered(placed, ["__id"], "__n")
-        keep = F.col("__n") > header
-        if footer:
-            keep &= F.col("__n") <= F.lit(placed.count() - footer)
-        lines = lines.where(keep)
-        if remove_empty:
-            lines = lines.where("value <> ''")
-        if limit is not None:
-            lines = numbered(lines.drop("__n"), ["__id"], "__n").where(F.col("__n") <= limit)
-        return lines.select("value")
-    return lines.where("value <> ''") if remove_empty else lines
+    if header or footer:
+        by_file = Window.partitionBy("file").orderBy("block")
+        before = F.coalesce(F.sum("held").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        behind = F.coalesce(F.sum("held").over(by_file.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+        blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("held")).select("file", "block", "held", before.alias("before"), behind.alias("behind"))
+        ends = blocks.select("file", "block", F.greatest(F.lit(header) - F.col("before"), F.lit(0)).alias("lo"), (F.col("held") - F.greatest(F.lit(footer) - F.col("behind"), F.lit(0))).alias("hi"), "held")
+        lines = _cut(lines, ends.where("lo > 0 or hi < held").drop("held"))
+    if remove_empty:
+        lines = lines.where("value <> ''")
+    if limit is not None:
+        # one row for each block goes through this window
+        before = F.coalesce(F.sum("held").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("held")).select("file", "block", "held", before.alias("before")).where(F.col("before") < limit)
+        # at most `limit` blocks are left
+        some = lines.join(F.broadcast(blocks.select("file", "block")), ["file", "block"], "left_semi")
+        lines = _cut(some, blocks.where(F.col("before") + F.col("held") > limit).select("file", "block", F.lit(0).alias("lo"), (F.lit(limit) - F.col("before")).alias("hi")))
+    return lines.select("value") if counted else lines
+
+
+def _cut(lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """lines without those up to lo and behind hi in the blocks of ends (file, block, lo, hi), which are a few for each file."""
+    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    touched = lines.join(F.broadcast(ends), ["file", "block"]).withColumn("number", number).where("number > lo and number <= hi")
+    return lines.join(F.broadcast(ends), ["file", "block"], "left_anti").unionByName(touched.select(*lines.columns))
 
 
 def read_delimited(spark: SparkSession, path: str, fields: list[Field], separator: str = ";", csv: bool = False, quote: str = '"', escape: str = "\\", header: int = 0, footer: int = 0, limit: int | None = None, encoding: str = "ISO-8859-15", row_separator: str = "\n", remove_empty: bool = True, trim: bool = False, check_fields_num: bool = False) -> Flows:
@@ -92,10 +107,11 @@ def typed(text: DataFrame, fields: list[Field], code=None) -> Flows:
         made[f.name] = converted(f, c)
         if f.spark != "string":
             reasons.append(F.when((F.trim(c) != "") & made[f.name].isNull(), "DATE_FORMAT" if f.spark == "timestamp_ntz" else "TYPE_CONVERSION"))
-    marked = text.withColumn("__code", F.coalesce(*reasons, F.lit(None).cast("string")))
-    names = [f.name for f in fields]
-    reject = marked.where("__code is not null").select(*names, F.col("__code").alias("errorCode"), F.concat(F.lit("row rejected: "), "__code").alias("errorMessage"))
-    return {"main": marked.where("__code is null").select(*[v.alias(n) for n, v in made.items()]), "reject": reject}
+    why = spare(text, "code")
+    marked = text.withColumn(why, F.coalesce(*reasons, F.lit(None).cast("string")))
+    names = [F.col(f"`{f.name}`") for f in fields]
+    reject = marked.where(F.col(why).isNotNull()).select(*names, F.col(why).alias("errorCode"), F.concat(F.lit("row rejected: "), why).alias("errorMessage"))
+    return {"main": marked.where(F.col(why).isNull()).select(*[v.alias(n) for n, v in made.items()]), "reject": reject}
 
 
 def read_positional(spark: SparkSession, path: str, fields: list[Field], widths: list[int], trim: bool = True, thousands: str = "", decimal: str = ".", **lines: Any) -> Flows:
