@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators.rows import Flows
+from flowloom.shared import spare
 
 
 def _ordered_list(value: Column, order: list[str], distinct: bool = False) -> Column:
@@ -19,18 +20,18 @@ def _ordered_list(value: Column, order: list[str], distinct: bool = False) -> Co
 def aggregation(function: str, column: str, order: list[str], ignore_null: bool = True, delimiter: str = ",", scale: int | None = 18) -> Column:
     """One of the fifteen functions over a group.
 
-    sum is 0 where no value is; scale: digits of the decimals that sum and avg are
+    sum is 0 where no value is; text that is no number counts as no value where numbers are needed; scale: digits of the decimals that sum and avg are
     exact in, None for doubles. first, last and lists go by `order`.
     """
     c = F.col(f"`{column}`")
-    number = c.cast(f"decimal({20 + scale},{scale})") if scale is not None else c.cast("double")
+    number = c.try_cast(f"decimal({20 + scale},{scale})") if scale is not None else c.try_cast("double")
     text, o = c.cast("string"), F.struct(*[F.col(f"`{x}`") for x in order])
     listed = text if ignore_null else F.coalesce(text, F.lit("null"))
     made = {
         "count": lambda: F.count(c), "count_distinct": lambda: F.count_distinct(c),
         "sum": lambda: F.coalesce(F.sum(number), F.lit(0)), "avg": lambda: F.avg(number), "min": lambda: F.min(c), "max": lambda: F.max(c),
-        "std": lambda: F.stddev_samp(c.cast("double")), "population_std_dev": lambda: F.stddev_pop(c.cast("double")), "variance": lambda: F.var_samp(c.cast("double")),
-        "median": lambda: F.median(c.cast("double")),
+        "std": lambda: F.stddev_samp(c.try_cast("double")), "population_std_dev": lambda: F.stddev_pop(c.try_cast("double")), "variance": lambda: F.var_samp(c.try_cast("double")),
+        "median": lambda: F.median(c.try_cast("double")),
         "first": lambda: F.min_by(c, F.when(c.isNotNull(), o)), "last": lambda: F.max_by(c, F.when(c.isNotNull(), o)),
         "list": lambda: F.array_join(_ordered_list(listed, order), delimiter),
         "list_object": lambda: F.concat(F.lit("["), F.array_join(_ordered_list(listed, order), ", "), F.lit("]")),
@@ -61,11 +62,12 @@ def unique_rows(df: DataFrame, keys: list[str] | None = None, keep: str = "first
     keys = keys or df.columns
     by = [F.lower(F.col(f"`{k}`")) if k in case_insensitive else F.col(f"`{k}`") for k in keys]
     order = [F.col(f"`{c}`").desc() if keep == "last" else F.col(f"`{c}`") for c in order_by or keys]
-    marked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    at = spare(df, "place")
+    marked = df.withColumn(at, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     if keep not in ("first", "last"):
-        marked = marked.withColumn("__n", F.when(F.count(F.lit(1)).over(Window.partitionBy(*by)) > 1, F.col("__n") + 1).otherwise(1))
-    duplicate = marked.where("__n = 2" if only_once_each else "__n > 1")
-    return {"unique": marked.where("__n = 1").drop("__n"), "duplicate": duplicate.drop("__n")}
+        marked = marked.withColumn(at, F.when(F.count(F.lit(1)).over(Window.partitionBy(*by)) > 1, F.col(at) + 1).otherwise(1))
+    duplicate = marked.where(F.col(at) == 2 if only_once_each else F.col(at) > 1)
+    return {"unique": marked.where(F.col(at) == 1).drop(at), "duplicate": duplicate.drop(at)}
 
 
 def denormalize(df: DataFrame, columns: list[dict[str, Any]], order_by: list[str], null_as_empty: bool = False) -> DataFrame:

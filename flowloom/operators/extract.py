@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.reshape import _literal
 from flowloom.operators.rows import Flows
+from flowloom.shared import spare
 
 
 def _split(df: DataFrame, made: dict[str, Column], code: Column, null_source: str, source: Column, ignore_null: bool) -> Flows:
     """main gets the made columns where code is null; reject the rest with errorCode. Null sources are dropped or rejected."""
-    marked = df.withColumn("__code", F.when(source.isNull(), F.lit(null_source)).otherwise(code))
-    reject = marked.where("__code is not null")
-    reject = reject.where(F.col("__code") != null_source) if ignore_null else reject
+    why = spare(df, "code")
+    marked = df.withColumn(why, F.when(source.isNull(), F.lit(null_source)).otherwise(code))
+    reject = marked.where(F.col(why).isNotNull())
+    reject = reject.where(F.col(why) != null_source) if ignore_null else reject
     return {
-        "main": marked.where("__code is null").withColumns(made).drop("__code"),
-        "reject": reject.withColumns({"errorCode": F.col("__code"), "errorMessage": F.concat(F.lit("extraction failed: "), "__code")}).drop("__code"),
+        "main": marked.where(F.col(why).isNull()).withColumns(made).drop(why),
+        "reject": reject.withColumns({"errorCode": F.col(why), "errorMessage": F.concat(F.lit("extraction failed: "), why)}).drop(why),
     }
 
 
@@ -35,7 +37,7 @@ def extract_delimited(df: DataFrame, field: str, columns: list[str], separator:
 
 
 def extract_regex(df: DataFrame, field: str, regex: str, columns: list[str], ignore_source_null: bool = False) -> Flows:
-    """Groups of the first match as columns by position; a group that took no part is null."""
+    """Groups of the first match as columns by position; a group that took no part is "", as an empty one is (Spark tells them not apart)."""
     source = F.col(f"`{field}`").cast("string")
     groups = re.compile(regex).groups
     made = {c: (F.regexp_extract(source, regex, i + 1) if i < groups else F.lit(None).cast("string")) for i, c in enumerate(columns)}

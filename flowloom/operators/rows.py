@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import decimal
 import functools
+import math
 import operator
 import re
 from typing import Any
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.errors import ConfigurationError
+from flowloom.shared import spare
 
 Flows = dict[str, DataFrame]
 
@@ -31,9 +34,24 @@ def _prepared(column: Column, function: str) -> Column:
     return made(column) if made else column
 
 
-def condition(columns: list[str], column: str, operator_: str, value: Any = None, function: str = "") -> Column:
-    """One comparison; a missing column and a null give false, except that != and NOT_CONTAINS hold for null."""
-    if column not in columns:
+def _number(value: Any) -> int | float | decimal.Decimal | None:
+    """value as a number, whole ones exactly; None if it is none."""
+    text = str(value).strip()
+    if re.fullmatch(r"[+-]?\d{1,18}", text):
+        return int(text)
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def condition(types: dict[str, str], column: str, operator_: str, value: Any = None, function: str = "") -> Column:
+    """One comparison over columns of the given types; false or null where it does not hold, so != and NOT_CONTAINS hold for null.
+
+    Number columns are compared as they are, which lets Spark push the comparison
+    into the scan; text is compared as numbers where the value is one.
+    """
+    if column not in types:
         return F.lit(False)
     c = _prepared(F.col(f"`{column}`"), function or "")
     name = operator_.strip().upper()
@@ -41,11 +59,17 @@ def condition(columns: list[str], column: str, operator_: str, value: Any = None
         return c.isNull() if name == "IS_NULL" else c.isNotNull()
     if name in ("==", "!=", ">", "<", ">=", "<="):
         compare = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}[name]
-        try:
-            out = compare(c.cast("string").try_cast("double"), F.lit(float(value)))
-        except (TypeError, ValueError):
-            out = compare(c.cast("string"), F.lit(str(value)))
-        return F.coalesce(out, F.lit(name == "!="))
+        number, kind = None if value is None else _number(value), types[column] if not function else "string"
+        if number is None:
+            out = compare(c if kind == "string" else c.cast("string"), F.lit(str(value)))
+        elif kind in ("tinyint", "smallint", "int", "bigint") and isinstance(number, float):
+            out = compare(c.cast("decimal(20,0)"), F.lit(decimal.Decimal(str(number)))) if math.isfinite(number) else compare(c.cast("double"), F.lit(number))
+        elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+            out = compare(c, F.lit(number))
+        else:
+            out = compare(c.cast("string").try_cast("double"), F.lit(float(number)))
+        # != holds where nothing can be compared
+        return (out | out.isNull()) if name == "!=" else out
     text = c.cast("string")
     made = {
         "MATCHES": lambda: text.rlike(f"^(?:{value})$"), "CONTAINS": lambda: text.contains(str(value)), "NOT_CONTAINS": lambda: ~text.contains(str(value)),
@@ -54,7 +78,7 @@ def condition(columns: list[str], column: str, operator_: str, value: Any = None
     }.get(name)
     if not made:
         raise ConfigurationError(f"unknown filter operator {operator_!r}")
-    return F.coalesce(made(), F.lit(name == "NOT_CONTAINS"))
+    return (made() | c.isNull()) if name == "NOT_CONTAINS" else made()
 
 
 def filter_rows(df: DataFrame, conditions: list[dict[str, Any]] = (), logical_op: str = "&&", advanced: str | None = None) -> Flows:
@@ -63,12 +87,12 @@ def filter_rows(df: DataFrame, conditions: list[dict[str, Any]] = (), logical_op
     conditions: column, operator, value and function each; advanced: a SQL
     condition, which must hold as well. Without any all rows pass.
     """
-    parts = [condition(df.columns, x["column"], x["operator"], x.get("value"), x.get("function", "")) for x in conditions]
+    parts = [condition(dict(df.dtypes), x["column"], x["operator"], x.get("value"), x.get("function", "")) for x in conditions]
     keep = functools.reduce(operator.and_ if logical_op.upper() in ("&&", "AND") else operator.or_, parts) if parts else F.lit(True)
     if advanced:
-        keep = keep & F.coalesce(F.expr(advanced), F.lit(False))
+        keep = keep & F.expr(advanced)
     said = f" {logical_op} ".join(f"{x['column']} {x['operator']} {x.get('value', '')}".strip() for x in conditions) or (advanced or "")
-    return {"main": df.where(keep), "reject": df.where(~keep).withColumn("errorMessage", F.lit(f"The row does not match the filter: {said}"))}
+    return {"main": df.where(keep), "reject": df.where(~F.coalesce(keep, F.lit(False))).withColumn("errorMessage", F.lit(f"The row does not match the filter: {said}"))}
 
 
 def convert_type(df: DataFrame, conversions: dict[str, str], empty_to_null: bool = False) -> Flows:
@@ -83,10 +107,11 @@ def convert_type(df: DataFrame, conversions: dict[str, str], empty_to_null: bool
         made[name] = out
         bad.append(F.when(source.isNotNull() & out.isNull(), F.lit(f"cannot convert {name} to {kind}")))
     message = F.concat_ws("; ", *bad)
-    marked = df.withColumn("__bad", message)
+    why = spare(df, "why")
+    marked = df.withColumn(why, message)
     return {
-        "main": marked.where("__bad = ''").drop("__bad").withColumns(made),
-        "reject": marked.where("__bad <> ''").withColumns({"error_code": F.lit("CONVERSION_ERROR"), "error_message": F.col("__bad")}).drop("__bad"),
+        "main": marked.where(F.col(why) == "").drop(why).withColumns(made),
+        "reject": marked.where(F.col(why) != "").withColumns({"error_code": F.lit("CONVERSION_ERROR"), "error_message": F.col(why)}).drop(why),
     }
 
 
@@ -137,10 +162,11 @@ def schema_compliance(df: DataFrame, checks: list[dict[str, Any]], all_empty_are
             size = F.octet_length(F.encode(value, x["charset"])) if x.get("charset") else F.length(value)
             reasons.append((size > x["length"], "exceed max length"))
         found += [F.when(when, F.lit(f"{x['column']}:{why}")) for when, why in reasons]
-    marked = df.withColumn("__bad", F.concat_ws(";", *found))
+    why = spare(df, "why")
+    marked = df.withColumn(why, F.concat_ws(";", *found))
     return {
-        "main": marked.where("__bad = ''").drop("__bad"),
-        "reject": marked.where("__bad <> ''").withColumns({"errorCode": F.lit(8), "errorMessage": F.col("__bad")}).drop("__bad"),
+        "main": marked.where(F.col(why) == "").drop(why),
+        "reject": marked.where(F.col(why) != "").withColumns({"errorCode": F.lit(8), "errorMessage": F.col(why)}).drop(why),
     }
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.shared import spare
+
 #: Names of types in job files and their Spark types.
 TYPES = {
     "str": "string", "id_String": "string", "id_Character": "string", "object": "string", "id_Object": "string",
@@ -89,6 +91,7 @@ def enforce(df: DataFrame, fields: list[Field]) -> dict[str, DataFrame]:
             values.append(F.expr(f"cast({default} as {f.spark})").alias(f.name))
     names = {f.name for f in fields}
     rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    marked = df.withColumn("__bad", bad)
-    reject = marked.where("__bad is not null").withColumns({"errorCode": F.lit("SCHEMA_VIOLATION"), "errorMessage": F.col("__bad")}).drop("__bad")
-    return {"main": marked.where("__bad is null").select(*values, *rest), "reject": reject}
+    why = spare(df, "why")
+    marked = df.withColumn(why, bad)
+    reject = marked.where(F.col(why).isNotNull()).withColumns({"errorCode": F.lit("SCHEMA_VIOLATION"), "errorMessage": F.col(why)}).drop(why)
+    return {"main": marked.where(F.col(why).isNull()).select(*values, *rest), "reject": reject}

@@ -172,3 +172,75 @@ def test_stream_batches(spark, tmp_path):
     keep = lambda df: rows.filter_rows(df, [{"column": "n", "operator": ">", "value": 2}])
     each_batch(stream, keep, {"main": str(tmp_path / "m"), "reject": str(tmp_path / "r")}, str(tmp_path / "c")).awaitTermination(60)
     assert [r.n for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [5] and spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_numbers_of_many_rows(spark):
+    df = spark.range(0, 1_000_000, 1, 64).selectExpr("(id * 7919) % 1000003 key", "id")
+    got = order.numbered(df, ["key", "id"], "n")
+    assert got.selectExpr("count(distinct n)", "min(n)", "max(n)").first() == (1_000_000, 1, 1_000_000)
+    place = {r.key: r.n for r in got.where("n in (1, 500000, 1000000)").collect()}
+    keys = sorted((i * 7919) % 1000003 for i in range(1_000_000))
+    assert place == {keys[0]: 1, keys[499_999]: 500_000, keys[-1]: 1_000_000}
+    flows = order.sample_rows(df.withColumnRenamed("id", "position"), "1..500000", ["key"])
+    assert flows["main"].count() == flows["reject"].count() == 500_000 and flows["main"].columns == ["key", "position"]
+    assert order.number_rows(df, "k", ["key"], 10, 5).agg({"k": "max"}).first()[0] == 10 + 5 * 999_999
+
+
+def test_heads_feet_and_limits_of_many_lines(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for f in "ab":
+        (folder / f"{f}.txt").write_text("".join(f"{f}{i}\n" if i % 10 else "\n" for i in range(300_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = lambda **x: [r.value for r in files._lines(spark, str(folder), **x).collect()]
+        whole = [f"{f}{i}" if i % 10 else "" for f in "ab" for i in range(300_000)]
+        kept = whole[2:299_997] + whole[300_002:-3]
+        assert sorted(read(header=2, footer=3, remove_empty=False)) == sorted(kept)
+        full = [x for x in kept if x]
+        assert sorted(read(header=2, footer=3, limit=400_000)) == sorted(full[:400_000])
+        assert sorted(read(header=290_000, remove_empty=False)) == sorted(whole[290_000:300_000] + whole[590_000:])
+        assert read(header=300_000) == [] and read(limit=0) == [] and sorted(read(limit=5)) == ["a1", "a2", "a3", "a4", "a5"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_filters_reach_the_scan(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    some = [{"column": "o_totalprice", "operator": ">", "value": "1000"}, {"column": "o_custkey", "operator": "==", "value": 7}, {"column": "o_orderstatus", "operator": "==", "value": "F"}]
+    for x, expected in zip(some, ("GreaterThan(o_totalprice,1000.0)", "EqualTo(o_custkey,7)", "EqualTo(o_orderstatus,F)"), strict=True):
+        plan = rows.filter_rows(orders, [x])["main"]._jdf.queryExecution().executedPlan().toString()
+        assert expected in plan.split("PushedFilters: ")[1].split("\n")[0]
+    df = spark.createDataFrame([(2**53 + 1,), (2**53,), (None,)], "n long")
+    assert rows.filter_rows(df, [{"column": "n", "operator": "==", "value": str(2**53)}])["main"].count() == 1
+    assert rows.filter_rows(df, [{"column": "n", "operator": "!=", "value": 2**53}])["main"].count() == 2
+    assert rows.filter_rows(df, [{"column": "n", "operator": ">", "value": "1.5"}])["reject"].count() == 1
+
+
+def test_aggregates_of_text(spark):
+    df = spark.createDataFrame([(1, "1.5"), (1, "x"), (1, None), (2, "y")], "k int, v string")
+    names = ["sum", "avg", "std", "median", "count", "min"]
+    out = aggregate.aggregate(df, ["k"], [{"output": f, "function": f, "input": "v", "scale": 2} for f in names]).orderBy("k")
+    assert [tuple(str(c) for c in r) for r in out.collect()] == [("1", "1.50", "1.500000", "None", "1.5", "2", "1.5"), ("2", "0.00", "None", "None", "None", "1", "y")]
+
+
+def test_helpers_leave_user_columns(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x"), (1, "b", 6, "y")], "k int, place string, why int, code string")
+    assert aggregate.unique_rows(df, ["k"], order_by=["place"])["unique"].collect() == [(1, "a", 5, "x")]
+    assert rows.convert_type(df, {"place": "int"})["reject"].columns == [*df.columns, "error_code", "error_message"]
+    assert extract.extract_delimited(df, "place", ["p"])["main"].columns == [*df.columns, "p"]
+
+
+def test_python_rows_once(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def double(row):
+        with open(log, "a") as f:
+            f.write(f"{row['n']!r}\n")
+        return {"m": row["n"] * 2}
+
+    from flowloom.operators.code import python_rows
+
+    flows = python_rows(spark.createDataFrame([(1,), (None,), (2**60,)], "n long").coalesce(1), double, "m long")
+    assert rows_of(flows["main"]) == [(2,), (2**61,)] and flows["reject"].count() == 1 and flows["reject"].first()["n"] is None
+    assert sorted(log.read_text().split()) == ["1", "1152921504606846976", "None"]
