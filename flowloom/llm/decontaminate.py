@@ -10,9 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import unused
 from flowloom.llm.sketch import U, mix, pieces_of, prefix_hashes, shingle_hashes
 
-GRAM = 3
+#: Words of the grams that choose windows: an item uses the longest of which an occurrence with all its edits still holds one.
+GRAMS = (3, 2, 1)
+#: CGK places are sampled from the steps in which nearly all walks are still inside the window (a walk moves on in half of its steps).
+STEPS = 1.75
 BLOCK = 20_000
 
 
@@ -36,6 +40,7 @@ class _Item:
     item_id: int
     words: np.ndarray
     most: int
+    gram: int
     enough: int
     keys: np.ndarray = field(default=None)  # type: ignore[assignment]
 
@@ -49,18 +54,20 @@ def cgk_keys(windows: np.ndarray, how: Match) -> np.ndarray:
     """windows (w, n) of word hashes to (w, walks) hash keys.
 
     Chakraborty, Goldenberg and Koucky's embedding: a pointer walks over the window
-    and in each of 3n steps writes the word under it and moves on if a random bit of
-    step and word says so; edits become few changed places. Each walk's key hashes
-    `bits` sampled places.
+    and in each step writes the word under it and moves on if a random bit of step
+    and word says so; edits become few changed places. Each walk's key hashes `bits`
+    places sampled from the first STEPS * n steps, for behind these many walks have
+    left the window and agree with any other.
     """
     w, n = windows.shape
     padded = np.concatenate([windows, np.zeros((w, 1), U)], axis=1)
     walk = mix(np.arange(1, how.walks + 1, dtype=U))
-    chosen = np.random.default_rng(n).integers(0, 3 * n, (how.walks, how.bits))
+    steps = max(1, int(STEPS * n))
+    chosen = np.random.default_rng(n).integers(0, steps, (how.walks, how.bits))
     at = np.zeros((w, how.walks), np.int64)
     key = np.broadcast_to(walk, at.shape).copy()
     row = np.arange(w)[:, None]
-    for step in range(3 * n):
+    for step in range(steps):
         word = padded[row, np.minimum(at, n)]
         taken = (chosen == step).any(1)
         key[:, taken] = mix(key[:, taken] ^ mix(word[:, taken] + U(step)))
@@ -80,8 +87,38 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+class _Grams:
+    """The grams of the items that use grams of q words."""
+
+    def __init__(self, items: list[_Item], q: int):
+        self.q = q
+        each = [shingle_hashes(x.words, q) if x.gram == q else np.empty(0, U) for x in items]
+        of = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        offset = np.concatenate([np.arange(len(x)) for x in each])
+        gram = np.concatenate(each)
+        order = np.argsort(gram, kind="stable")
+        self.of, self.offset = of[order], offset[order]
+        self.names, self.first = np.unique(gram[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(gram)))
+
+    def met(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of each gram that words and an item share."""
+        none = np.empty(0, np.int64)
+        if len(words) < self.q:
+            return none, none
+        grams = shingle_hashes(words, self.q)
+        at = np.minimum(np.searchsorted(self.names, grams), len(self.names) - 1)
+        place = np.flatnonzero(self.names[at] == grams)
+        if not len(place):
+            return none, none
+        at = at[place]
+        times = self.count[at]
+        entry = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+        return self.of[entry], np.repeat(place, times) - self.offset[entry]
+
+
 class Index:
-    """The items with their word triples and embedding keys."""
+    """The items with their grams and embedding keys."""
 
     def __init__(self, items: list[tuple[int, str | None]], how: Match):
         self.how, self.items = how, []
@@ -89,33 +126,22 @@ class Index:
             words = word_sequence(text)
             n, most = len(words), int(how.edits * len(words))
             if item_id is not None and n >= how.least_words:
-                # q-gram lemma: an occurrence shares this many of the item's triples
-                self.items.append(_Item(item_id, words, most, max(1, n - GRAM + 1 - GRAM * most), cgk_keys(words[None, :], how)[0]))
-        each = [shingle_hashes(x.words, GRAM) for x in self.items]
-        of = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        offset = np.concatenate([np.arange(len(x)) for x in each]) if each else np.empty(0, np.int64)
-        gram = np.concatenate(each) if each else np.empty(0, U)
-        order = np.argsort(gram, kind="stable")
-        self.of, self.offset = of[order], offset[order]
-        self.grams, self.first = np.unique(gram[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(gram)))
+                # q-gram lemma: an occurrence shares this many of the item's grams of q words
+                shared = lambda q: n - q + 1 - q * most  # noqa: B023, E731
+                q = next((q for q in GRAMS if shared(q) > 0), 1)
+                self.items.append(_Item(item_id, words, most, q, max(1, shared(q)), cgk_keys(words[None, :], how)[0]))
+        self.enough = np.array([x.enough for x in self.items], np.int64)
+        self.grams = [_Grams(self.items, q) for q in sorted({x.gram for x in self.items}, reverse=True)]
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, edits, first word of the best place) of the items in a text."""
         words = word_sequence(text)
-        if len(words) < GRAM or not len(self.grams):
-            return []
-        grams = shingle_hashes(words, GRAM)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        place = np.flatnonzero(self.grams[at] == grams)
-        if not len(place):
-            return []
-        at = at[place]
-        times = self.count[at]
-        entry = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        item, diagonal = self.of[entry], np.repeat(place, times) - self.offset[entry]
+        met = [x.met(words) for x in self.grams]
+        item, diagonal = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.empty(0, np.int64),) * 2
         out = []
-        for i in np.flatnonzero(np.bincount(item, minlength=len(self.items)) >= np.array([x.enough for x in self.items])):
+        if not len(item):
+            return out
+        for i in np.flatnonzero(np.bincount(item, minlength=len(self.items)) >= self.enough):
             it = self.items[i]
             starts = np.sort(diagonal[item == i])
             # runs of diagonals within the edits of each other that hold enough triples
@@ -149,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match(), id
     """(id, item_id, edits, start_word): a row for each document and benchmark item found in its text, with its best place.
 
     Words are compared without case and punctuation, whole texts are searched.
-    Windows of an item's length that share too few of its word triples to be within
+    Windows of an item's length that share too few of its word grams to be within
     the edits (q-gram lemma, exact) are not embedded; the others are embedded,
     hashed and verified by exact edit distance. Null and empty texts and items hold
     nothing; rows with a null id are searched too, repeated rows give repeated
@@ -189,8 +215,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match(
     """docs without the rows in whose text a benchmark item is found; all columns as they are. Rows without id stay or go by their own text."""
     sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where("item_id is not null").limit(BLOCK + 1).toLocalIterator()])
     if len(sent.value) > BLOCK:
-        gone = contaminated(docs, benchmark, how, id_col, text_col).select(F.col(id_col).alias("__gone")).distinct()
-        return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+        name = unused(docs, "gone")
+        gone = contaminated(docs, benchmark, how, id_col, text_col).select(F.col(id_col).alias(name)).distinct()
+        return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
     made: list[Index] = []
 
     @F.pandas_udf("boolean")

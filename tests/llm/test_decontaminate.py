@@ -71,6 +71,18 @@ def test_recall_against_brute_force(spark):
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_with_one_change():
+    r = random.Random(11)
+    for n in (5, 6, 7, 9):
+        found = 0
+        for _ in range(200):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            index = Index([(1, " ".join(words))], Match())
+            words[r.randrange(n)] = "other"
+            found += bool(index.find(" ".join([f"x{r.randrange(99)}" for _ in range(20)] + words + ["y"] * 20)))
+        assert found >= 0.95 * 200, (n, found)
+
+
 def test_exact_occurrences_always_found():
     r = random.Random(8)
     items = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(20))) for i in range(20)]
