@@ -17,11 +17,10 @@ PREFIXES = (4, 5, 6, 7)
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of a fit. Of texts up to max_bytes, about `positive` confirmed toxic and `unlabelled` others are drawn by hash."""
+    """Bounds and settings of a fit: about `positive` confirmed toxic and `unlabelled` other texts are drawn by hash, whole, and `features` hashed features kept."""
 
     positive: int = 4000
     unlabelled: int = 12000
-    max_bytes: int = 100_000
     features: int = 1024
     least_z: float = 6.0
     steps: int = 600
@@ -113,6 +112,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Model(names, w, bias)
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative PU risk of logits of positive and unlabelled texts, by its definition."""
+    loss = lambda s: np.logaddexp(0, -s).mean()
+    return prior * loss(positive) + max(0.0, loss(-unlabelled) - prior * loss(-positive))
+
+
 def held_out(id_col: Column) -> Column:
     """Rows whose labels no fit may use: crc32 of the id as text leaves 1 on division by 3. A null id is not one."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -129,18 +134,24 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc
     count, toxic = usable.agg(F.count("*"), F.coalesce(F.sum((F.col(label_col) == 1).cast("int")), F.lit(0))).first()
     prior = min(max(toxic / count, 0.001), 0.5) if count else 0.1
     drawn = lambda c, share: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
-    known = usable.where((F.col(label_col) == 1) & drawn(F.col(id_col), how.positive / max(toxic, 1))).select(F.col(id_col).alias("__id")).distinct().limit(2 * how.positive)
-    read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(~held_out(F.col("__id")) & (F.octet_length("__text") <= how.max_bytes))
+    known = usable.where((F.col(label_col) == 1) & drawn(F.col(id_col), how.positive / max(toxic, 1))).select(F.col(id_col).alias("id")).distinct()
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out(F.col("id")) & F.col("text").isNotNull())
     total = docs.count()
-    sample = read.join(F.broadcast(known.withColumn("__toxic", F.lit(1))), "__id", "left")  # 2 * positive ids at most
-    other = drawn(F.concat_ws(":", F.col("__id").cast("string"), F.lit("u")), how.unlabelled / max(total, 1))
-    rows = sample.select("__text", F.col("__toxic").isNotNull().alias("__toxic"), F.coalesce(other, F.lit(False)).alias("__other")).where("__toxic or __other")
+    sample = read.join(F.broadcast(known.withColumn("known", F.lit(1))), "id", "left")  # about `positive` ids
+    other = drawn(F.concat_ws(":", F.col("id").cast("string"), F.lit("u")), how.unlabelled / max(total, 1))
+    rows = sample.select("text", F.col("known").isNotNull().alias("toxic"), F.coalesce(other, F.lit(False)).alias("other")).where("toxic or other")
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, U), *hashed(t)])).tobytes() for t in x["text"]]
+            yield pd.DataFrame({"toxic": x["toxic"], "other": x["other"], "features": sets})
+
     positive, unlabelled = [], []
-    for r in rows.limit(2 * (how.positive + how.unlabelled)).toLocalIterator():
-        x = np.unique(np.concatenate([np.empty(0, U), *hashed(r["__text"])]))
-        if r["__toxic"]:
+    for r in rows.mapInPandas(features, "toxic boolean, other boolean, features binary").toLocalIterator():
+        x = np.frombuffer(r["features"], U)
+        if r["toxic"]:
             positive.append(x)
-        if r["__other"]:
+        if r["other"]:
             unlabelled.append(x)
     return train(positive, unlabelled, prior, how)
 

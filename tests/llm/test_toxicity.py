@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from flowloom.llm.toxicity import Fit, drop_toxic, fit, score
+from flowloom.llm.toxicity import Fit, drop_toxic, fit, hashed, risk, score, train
 
 
 def corpus(spark):
@@ -44,6 +44,23 @@ def test_labels_that_may_not_be_used_change_nothing(spark):
     assert a.bias == b.bias and np.array_equal(a.weights, b.weights)
 
 
+def test_the_fit_lowers_the_risk():
+    """The risk by plain sums, and the model against that of no features and against nearby weights."""
+    r = random.Random(3)
+    prose = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    toxic = [prose(30) + " vile nasty" for _ in range(120)]
+    other = [prose(30) + (" vile nasty" if i % 10 == 0 else "") for i in range(900)]
+    sets = lambda texts: [np.unique(np.concatenate(list(hashed(t)))) for t in texts]
+    logit = lambda p: np.log(p / (1 - p))
+    model = train(sets(toxic), sets(other), 0.1, Fit())
+    p, u = logit(model.scores(toxic)), logit(model.scores(other))
+    log1p = lambda s: float(np.log(1 + np.exp(s)))
+    plain = 0.1 * sum(log1p(-s) for s in p) / len(p) + max(0, sum(log1p(s) for s in u) / len(u) - 0.1 * sum(log1p(s) for s in p) / len(p))
+    assert abs(plain - risk(p, u, 0.1)) < 1e-9
+    assert risk(p, u, 0.1) < 0.5 * risk(np.full(len(p), logit(0.1)), np.full(len(u), logit(0.1)), 0.1)
+    assert model.scores([toxic[0]])[0] > 0.7 > model.scores([other[1]])[0]
+
+
 def test_without_examples(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
