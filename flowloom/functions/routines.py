@@ -38,6 +38,16 @@ class StringHandling:
     def _pad(pad, s: Column, n: int, fill: str) -> Column:
         return F.when(F.lit(n >= 1) & (F.trim(s) != ""), F.when(F.length(s) >= n, s).otherwise(pad(s, n, fill or " ")))
 
+    @staticmethod
+    def INSTR(s: Column, search: str, start: int = 1, occurrence: int = 1) -> Column:
+        """The place of an occurrence of search from start on, 0 if there is none; a negative start counts from the end and goes back."""
+        size = F.length(s)
+        places = F.when(size >= abs(start), F.sequence(F.lit(start), size) if start > 0 else F.reverse(F.sequence(F.lit(1), size + 1 + start)))
+        found = F.filter(places, lambda i: F.substring(s, i, F.lit(len(search))) == F.lit(search))
+        return F.when(s.isNotNull(), F.coalesce(F.get(found, F.lit(occurrence - 1)), F.lit(0)))
+
+    LTRIM = staticmethod(lambda s, some=" ": F.ltrim(s, F.lit(some)))
+    RTRIM = staticmethod(lambda s, some=" ": F.rtrim(s, F.lit(some)))
     LPAD = staticmethod(lambda s, n, fill=" ": StringHandling._pad(F.lpad, s, n, fill))
     RPAD = staticmethod(lambda s, n, fill=" ": StringHandling._pad(F.rpad, s, n, fill))
     TO_CHAR = staticmethod(lambda n: n.cast("decimal(38,16)").cast("string"))
@@ -65,6 +75,18 @@ class Mathematical:
     SCMP = staticmethod(lambda a, b: F.signum(a.try_cast("double") - b.try_cast("double")).cast("int"))
 
 
+class Numeric:
+    """Numbers out of text, and random ones; sequences are order.number_rows and order.sequence."""
+
+    random = staticmethod(lambda least, most, seed=None: F.floor(least + (F.rand() if seed is None else F.rand(seed)) * (most - least + 1)).cast("bigint"))
+
+    @staticmethod
+    def convertImpliedDecimalFormat(pattern: str, s: Column) -> Column:
+        """Digits as a number with as many decimals as pattern has places behind its V; no number gives null."""
+        _, _, behind = pattern.upper().partition("V")
+        return (F.trim(s).try_cast("decimal(28,0)") / F.lit(10 ** len(behind)).cast("decimal(20,0)")).cast(f"decimal(38,{len(behind)})")
+
+
 class Relational:
     """Null tests."""
 
@@ -98,6 +120,7 @@ class Text:
 
 
 _UNITS = {"yyyy": "YEAR", "MM": "MONTH", "dd": "DAY", "HH": "HOUR", "mm": "MINUTE", "ss": "SECOND", "SSS": "MILLISECOND"}
+_ADDED = {"Y": "YEAR", "MONTH": "MONTH", "DAY": "DAY", "HH": "HOUR", "MI": "MINUTE", "SS": "SECOND", "MS": "MILLISECOND", "US": "MICROSECOND"}
 _PARTS = {
     "YEAR": F.year, "MONTH": lambda d: F.month(d) - 1, "HOUR": lambda d: F.hour(d) % 12, "MINUTE": F.minute, "SECOND": F.second, "DAY_OF_MONTH": F.dayofmonth,
     "DAY_OF_YEAR": F.dayofyear, "DAY_OF_WEEK": F.dayofweek, "WEEK_OF_YEAR": F.weekofyear,
@@ -117,6 +140,33 @@ class Dates:
     getCurrentDate = staticmethod(F.current_timestamp)
     getPartOfDate = staticmethod(lambda part, d: F.coalesce(_PARTS[part](d).cast("int"), F.lit(0)))
 
+    TO_CHAR = staticmethod(lambda d, pattern: F.date_format(d, pattern))
+
+    @staticmethod
+    def TO_DATE(s: Column, pattern: str = "MM/dd/yyyy HH:mm:ss.SSS") -> Column:
+        """Text by pattern, J: milliseconds since 1970; blank and unparseable text gives null."""
+        text = F.when(F.trim(s) != "", F.trim(s))
+        return F.timestamp_millis(text.try_cast("bigint")) if pattern == "J" else F.try_to_timestamp(text, F.lit(pattern))
+
+    @staticmethod
+    def ADD_TO_DATE(d: Column, unit: str, n: int) -> Column:
+        """d moved by n Y, MONTH, DAY, HH, MI, SS, MS, US or NS (whole thousands count)."""
+        unit, n = ("US", int(n / 1000)) if unit.upper() == "NS" else (unit.upper(), n)
+        return F.timestamp_add(_ADDED[unit], F.lit(n), d.cast("timestamp"))
+
+    @staticmethod
+    def setDate(d: Column, n: int, unit: str) -> Column:
+        """d with its yyyy, MM, dd, HH, mm or ss set to n; a day that the month lacks gives null."""
+        parts = {"yyyy": F.year, "MM": F.month, "dd": F.dayofmonth, "HH": F.hour, "mm": F.minute, "ss": F.second}
+        made = [F.lit(n) if k == unit else part(d) for k, part in parts.items()]
+        return F.try_make_timestamp(*made)
+
+    @staticmethod
+    def diffDateFloor(a: Column, b: Column, unit: str = "MM") -> Column:
+        """Whole months, or years (yyyy), from b to a; negative if a is earlier."""
+        months = F.months_between(a, b).cast("bigint")
+        return months if unit == "MM" else (months / 12).cast("bigint")
+
     @staticmethod
     def compareDate(a: Column, b: Column, pattern: str | None = None) -> Column:
         """-1, 0 or 1, by pattern if given; null is least."""

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.routines import DataOperation, Dates, Mathematical, StringHandling, Text
+from flowloom.functions.routines import DataOperation, Dates, Mathematical, Numeric, StringHandling, Text
 from flowloom.operators import aggregate as agg
 from flowloom.operators import code, extract, joins, messages, order, reshape, rows
 from flowloom.operators.joins import Lookup, Output
 from flowloom.plans.job import Job, Step
 from flowloom.plans.schema import Field, enforce
+from flowloom.shared import shared_folder
+from flowloom.sources import files, sinks
 from flowloom.sources.made import fixed_rows, generate_rows
 from flowloom.sources.sinks import grouped_xml, positional_line
 
@@ -466,3 +469,96 @@ def job_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         Step("never", rows.filter_columns, ["read"], run_if=lambda g: "x" in g), Step("sum", agg.aggregate, ["keep"], {"group_by": ["c_mktsegment"], "operations": [{"output": "n", "function": "count", "input": "c_custkey"}]}),
     ])
     return job.flows["sum.main"]
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/queries-{uuid.uuid4().hex}"
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_delimited(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path, separator="||")
+    return files.read_delimited(spark, path, [Field("c_custkey", "int"), Field("c_name"), Field("c_acctbal", "float")], separator="||", encoding="UTF-8")["main"]
+
+
+@query("select o_orderkey, o_orderpriority from orders order by o_orderkey limit 1000")
+def delimited_header_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in key order, each with a header; the limit is the reader's."""
+    path = _folder(spark)
+    ordered = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey")
+    sinks.write_delimited(ordered, path, header=True)
+    return files.read_delimited(spark, path, [Field("o_orderkey", "int"), Field("o_orderpriority")], header=1, limit=1000, encoding="UTF-8")["main"]
+
+
+@query("select cast(s_suppkey as varchar) line from supplier where s_suppkey not in (select s_suppkey from supplier order by s_suppkey limit 4)")
+def full_rows_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of the few suppliers, the smallest keys last as its footer."""
+    path = _folder(spark)
+    sinks.write_delimited(_t(spark, sf_dir, "supplier").select("s_suppkey").repartition(1).sortWithinPartitions(F.desc("s_suppkey")), path)
+    return files.read_full_rows(spark, path, "line", footer=4)
+
+
+@query("select s_suppkey, s_name, s_acctbal from supplier")
+def positional_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_positional(_t(spark, sf_dir, "supplier"), path, [{"column": "s_suppkey", "size": 12, "align": "R"}, {"column": "s_name", "size": 30}, {"column": "s_acctbal", "size": 20, "align": "R"}])
+    return files.read_positional(spark, path, [Field("s_suppkey", "int"), Field("s_name"), Field("s_acctbal", "float")], [12, 30, 20])["main"]
+
+
+@query("select cast(n_nationkey as varchar) n_nationkey, n_name from nation")
+def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_xml(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, row_tag="nation", root_tag="nations")
+    return files.read_xml_rows(spark, path, "nation", ["n_nationkey", "n_name"])
+
+
+@query("select count(*) n from events")
+def line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_delimited(_t(spark, sf_dir, "events").select("event_id", "event_type"), path)
+    return spark.createDataFrame([(files.count_rows(spark, path),)], "n long")
+
+
+@query(_matching("LAST_MATCH"))
+def map_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _map_matching(spark, sf_dir, "LAST_MATCH")
+
+
+@query(f"select c_custkey, code from {_RAW} where code <> '' and code not like 'x%' and length(code) <= 4")
+def schema_compliance_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.schema_compliance(_raw(spark, sf_dir), [{"column": "code", "type": "int", "nullable": False, "length": 4}])["main"]
+
+
+@query("select r_name, n as copy from region, (values (0), (1), (2)) v(n)")
+def replicate_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = rows.replicate(_t(spark, sf_dir, "region").select("r_name"), 2)
+    return rows.unite(*[df.withColumn("copy", F.lit(i)) for i, df in enumerate(flows.values())])
+
+
+@query("select o_orderkey, 100 + (row_number() over (order by o_totalprice, o_orderkey) - 1) * 2 as number from orders")
+def number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.number_rows(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "number", ["o_totalprice", "o_orderkey"], 100, 2).drop("o_totalprice")
+
+
+@query("""select c_custkey, coalesce(list_filter(range(3, len(c_name) + 1), lambda i: substr(c_name, i, 1) = '0')[2], 0)::int third, coalesce(list_reverse(list_filter(range(1, len(c_name)), lambda i: substr(c_name, i, 1) = '0'))[1], 0)::int back,
+  ltrim(c_name, 'Cust') cut, rtrim(c_mktsegment, 'GERY') short, c_custkey / 100.0 as implied, 0 as outside from customer""")
+def routines_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, drawn = F.col("c_name"), Numeric.random(3, 9, 5)
+    return _t(spark, sf_dir, "customer").select(
+        "c_custkey", StringHandling.INSTR(name, "0", 3, 2).alias("third"), StringHandling.INSTR(name, "0", -2, 1).alias("back"), StringHandling.LTRIM(name, "Cust").alias("cut"), StringHandling.RTRIM(F.col("c_mktsegment"), "GERY").alias("short"),
+        Numeric.convertImpliedDecimalFormat("999V99", F.col("c_custkey").cast("string")).cast("double").alias("implied"), F.when(drawn.between(3, 9), 0).otherwise(1).alias("outside"),
+    )
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%Y/%m/%d') shown, strftime(o_orderdate + interval 2 month, '%Y-%m-%d') later, strftime(o_orderdate - interval 36 hour, '%Y-%m-%d %H:%M') before,
+  strftime(make_timestamp(year(o_orderdate), month(o_orderdate), 9, hour(o_orderdate), minute(o_orderdate), 0.0), '%Y-%m-%d %H:%M') ninth, datesub('month', timestamp '1995-06-17', o_orderdate) as months, trunc(datesub('month', timestamp '1995-06-17', o_orderdate) / 12.0)::bigint as years,
+  strftime(o_orderdate, '%Y-%m-%d') again, null::varchar as blank from orders""")
+def routines_more_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, fixed = F.col("o_orderdate"), F.lit("1995-06-17").cast("timestamp_ntz")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", Dates.TO_CHAR(d, "yyyy/MM/dd").alias("shown"), day(Dates.ADD_TO_DATE(d, "MONTH", 2)).alias("later"), F.date_format(Dates.ADD_TO_DATE(d, "HH", -36), "yyyy-MM-dd HH:mm").alias("before"),
+        F.date_format(Dates.setDate(d, 9, "dd"), "yyyy-MM-dd HH:mm").alias("ninth"), Dates.diffDateFloor(d, fixed).alias("months"), Dates.diffDateFloor(d, fixed, "yyyy").alias("years"),
+        day(Dates.TO_DATE(F.date_format(d, "MM/dd/yyyy HH:mm:ss.SSS"))).alias("again"), day(Dates.TO_DATE(F.lit(" "))).alias("blank"),
+    )

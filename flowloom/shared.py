@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -15,17 +15,21 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder that driver and executors share, partitions as they are.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; only a local session gets a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="flowloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
-    The folder is the one in spark.checkpoint.dir; only a local session gets a temporary one where that is unset.
-    """
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder, partitions as they are."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            found = tempfile.mkdtemp(prefix="flowloom-")
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
