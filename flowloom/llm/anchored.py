@@ -23,7 +23,8 @@ from flowloom.llm.sketch import U, loads, run_hashes
 
 #: Symbols that are looked at together (their hashes fit a processor's cache), and those of the contexts that one call compares.
 CHUNK, BATCH = 1 << 16, 40_000
-PARTS = 8
+#: A group that is too large is dealt into so many parts at each step: rows times steps are fewest at three.
+PARTS = 3
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ class Strings:
 
     symbols: texts to arrays of bytes (uint8) or numbers (uint64). classes: contexts to
     (context, place, class) of all strings in them; strings are equal if their classes are.
-    plain: which strings of an array take part (None: all). held: contexts in a group that one task compares.
+    plain: which strings of an array take part (None: all). held: contexts in a group that one task
+    compares, about 3 MB of text for strings of 400 bytes.
     """
 
     length: int
@@ -41,7 +43,7 @@ class Strings:
     symbols: Callable[[list[str | None]], list[np.ndarray]]
     classes: Callable[[list[np.ndarray], int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     plain: Callable[[np.ndarray, int], np.ndarray] | None = None
-    held: int = 2000
+    held: int = 4000
 
     @property
     def reach(self) -> int:
