@@ -268,10 +268,10 @@ def _dealt_again(items: DataFrame, what: Strings) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, what: Strings, scratch: Scratch) -> DataFrame:
-    """docs (k, owner, text) to (k, owner, start, stop, first): the stretches of symbols whose every string is repeated.
+    """docs (k, owner, text) to (k, owner, spans) with an array of (start, stop, first): the stretches of symbols whose every string is repeated.
 
-    first is the least owner of the strings (0 unless what.across). Stretches of one
-    document overlap where anchors do, and rows may be repeated. Groups of at most
+    A row is one anchor. first is the least owner of the strings (0 unless
+    what.across). Stretches of one document overlap where anchors do, and may be repeated. Groups of at most
     what.held contexts are compared in a task; larger ones are dealt out again until
     a group holds contexts that agree throughout or is small: at the last step a
     group is one string, so this ends for any input.
@@ -311,8 +311,10 @@ def repeated_strings(docs: DataFrame, what: Strings, scratch: Scratch) -> DataFr
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    out = live.join(scratch.save(every), ["anchor", "c1", "c2"])
-    return out.select("k", "owner", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("stop"), "first")
+    # one row for each context, so that the join below makes no more rows than there are anchors
+    every = scratch.save(every.groupBy("anchor", "c1", "c2").agg(F.collect_set(F.struct("a", "b", "first")).alias("found")))
+    spans = F.transform("found", lambda x: F.struct((F.col("pos") + x["a"]).alias("start"), (F.col("pos") + x["b"]).alias("stop"), x["first"].alias("first")))
+    return live.join(every, ["anchor", "c1", "c2"]).select("k", "owner", spans.alias("spans"))
 
 
 def _risen(found: DataFrame, up: DataFrame | None) -> DataFrame:

@@ -125,8 +125,9 @@ def _spans(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> Da
     repeated = grouped.groupBy("component").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last").drop("last")
     lines = scratch.save(grouped.join(repeated, "component").where("owner <> first").select("k", "start", "stop", "first"))
     scratch.drop(rows, grouped)
-    runs = repeated_strings(docs, _runs(least), scratch).where("owner <> first").select("k", "start", "stop", "first")
-    return scratch.save(lines.unionByName(runs).groupBy("k").agg(F.collect_set(F.struct("start", "stop", "first")).alias("spans")))
+    lines = lines.select("k", F.array(F.struct("start", "stop", "first")).alias("spans"))
+    runs = repeated_strings(docs, _runs(least), scratch).select("k", F.filter("spans", lambda s: s["first"] != F.col("owner")).alias("spans")).where(F.size("spans") > 0)
+    return scratch.save(lines.unionByName(runs).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def _passages(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) -> DataFrame:

@@ -142,7 +142,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scr
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     read = read.select("id", "text", F.xxhash64("id", "text").alias("k"))
     spans = repeated_strings(read.select("k", F.col("k").alias("owner"), "text"), what, scratch)
-    gone = scratch.save(spans.groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    gone = scratch.save(spans.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
