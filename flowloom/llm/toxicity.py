@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import Scratch
 from flowloom.llm.sketch import U, pieces_of, prefix_hashes
 
 PREFIXES = (4, 5, 6, 7)
@@ -147,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc
             yield pd.DataFrame({"toxic": x["toxic"], "other": x["other"], "features": sets})
 
     positive, unlabelled = [], []
-    for r in rows.mapInPandas(features, "toxic boolean, other boolean, features binary").toLocalIterator():
+    # written first: an iterator over the corpus itself would read one partition after the other
+    drawn_rows = Scratch(docs.sparkSession).save(rows.mapInPandas(features, "toxic boolean, other boolean, features binary"))
+    for r in drawn_rows.toLocalIterator():
         x = np.frombuffer(r["features"], U)
         if r["toxic"]:
             positive.append(x)
