@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.anchored import Strings, repeated_strings
 from flowloom.llm.common import Scratch, of_ids, unused
 from flowloom.llm.neardup import Similarity, link_keyed
-from flowloom.llm.sketch import band_keys, distinct_shingles, placed_words, run_hashes, sketches, word_hashes
+from flowloom.llm.sketch import band_keys, placed_words, run_hashes, sets_of_words, sketches, word_hashes
 
 #: 21 bands of 3: paragraphs at a similarity of 0.75 are missed with a probability of 1e-5.
 HOW = Similarity(coordinates=64, rows=3)
@@ -79,7 +79,7 @@ def _paragraph_rows(docs: DataFrame, least: int, how: Similarity) -> DataFrame:
                 stop = np.cumsum(sizes)
                 before = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=sizes, minlength=len(part)).astype(np.int64))))
                 long_ = np.flatnonzero(sizes >= least)
-                sets = [distinct_shingles(hashes[i], how.width) for i in long_]
+                sets = sets_of_words([hashes[i] for i in long_], how.width)
                 keep = [j for j, i in enumerate(long_) if 2 * len(sets[j]) >= sizes[i] - how.width + 1]
                 sets, long_ = [sets[j] for j in keep], long_[keep]
                 prints = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
@@ -103,8 +103,9 @@ def _sets_of_paragraphs(docs: DataFrame, paragraphs: DataFrame, how: Similarity,
         for x in batches:
             for at in range(0, len(x), 256):
                 part = x.iloc[at : at + 256]
-                out = [(w["id"], distinct_shingles(h[w["start"] : w["stop"]], how.width).view(np.int64)) for h, wanted in zip(word_hashes(part["text"].tolist()), part["wanted"], strict=True) for w in wanted]
-                yield pd.DataFrame(out, columns=["id", "hashes"])
+                places = [(w["id"], h[w["start"] : w["stop"]]) for h, wanted in zip(word_hashes(part["text"].tolist()), part["wanted"], strict=True) for w in wanted]
+                sets = sets_of_words([h for _, h in places], how.width)
+                yield pd.DataFrame({"id": np.array([i for i, _ in places], np.int64), "hashes": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
 
     def sets(ids: DataFrame) -> DataFrame:
         places = paragraphs.join(ids, "id").groupBy("id").agg(F.min(F.struct("k", "start", "stop")).alias("at"))

@@ -162,7 +162,8 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     def flush() -> None:
         starts, h = _hash_words(b"\n".join(group))
         ends = np.cumsum([len(x) + 1 for x in group])
-        out.extend(np.split(h, np.searchsorted(starts, ends[:-1])))
+        cuts = [0, *np.searchsorted(starts, ends).tolist()]
+        out.extend(h[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
         group.clear()
 
     held = 0
@@ -204,7 +205,28 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
 
     A text with fewer words is one run, one without words has none.
     """
-    return [distinct_shingles(h, width) for h in word_hashes(texts)]
+    return sets_of_words(word_hashes(texts), width)
+
+
+def sets_of_words(words: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """distinct_shingles of each array, hashed in one pass over all of them."""
+    sizes = np.array([len(h) for h in words], np.int64)
+    many = np.maximum(sizes - width + 1, 0)
+    ends = np.cumsum(many)
+    if not many.sum():
+        return [distinct_shingles(h, width) for h in words]
+    # a run takes part if it ends in the array it starts in
+    last = np.cumsum(sizes)
+    starts = np.arange(last[-1] - width + 1)
+    runs = shingle_hashes(np.concatenate(words), width)[starts + width <= np.repeat(last, sizes)[: len(starts)]]
+    for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True):
+        runs[a:b].sort()
+    new = np.concatenate(([True], runs[1:] != runs[:-1]))
+    new[(ends - many)[many > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(new)))
+    runs = runs[new]
+    bounds = zip(kept[ends - many].tolist(), kept[ends].tolist(), strict=True)
+    return [runs[a:b] if b > a else distinct_shingles(h, width) for h, (a, b) in zip(words, bounds, strict=True)]
 
 
 def sketches(sets: list[np.ndarray], t: int, seed: int = 1) -> np.ndarray:
