@@ -239,23 +239,30 @@ def sketches(sets: list[np.ndarray], t: int, seed: int = 1) -> np.ndarray:
     set as soon as its bins are full. An empty set keeps the largest value throughout.
     """
     bits = t.bit_length() - 1
-    assert t == 1 << bits, "t is a power of two"
+    assert t == 1 << bits and t <= 1024, "t is a power of two, and rounds up to 2t fit eleven bits"
     sizes = np.array([len(s) for s in sets], np.int64)
     out = np.full(len(sets) * t, np.iinfo(np.uint64).max, U)
     if not sizes.sum():
         return out.reshape(-1, t)
     element = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    low = U((1 << 54) - 1)
+    low, free = U((1 << 53) - 1), np.iinfo(np.uint64).max
+    grid, rows = out.reshape(-1, t), np.flatnonzero(sizes)
     for i in range(2 * t):
         h = mix(element ^ mix(np.array([seed * 1_000_003 + i], U)))
         where = owner * t + ((h >> U(64 - bits)).astype(np.int64) if i < t else i - t)
-        np.minimum.at(out, where, (U(i) << U(54)) | (h & low))
-        open_ = (out.reshape(-1, t) == np.iinfo(np.uint64).max).any(1) & (sizes > 0)
+        # values grow from round to round, so only bins that are free can change
+        new = out[where] == free
+        np.minimum.at(out, where[new], (U(i) << U(53)) | (h[new] & low))
+        open_ = (grid[rows] == free).any(1)
         if not open_.any():
             break
-        keep = open_[owner]
-        element, owner = element[keep], owner[keep]
+        if not open_.all():
+            rows = rows[open_]
+            keep = np.zeros(len(sets), bool)
+            keep[rows] = True
+            keep = keep[owner]
+            element, owner = element[keep], owner[keep]
     return out.reshape(-1, t)
 
 

@@ -1,6 +1,8 @@
 import random
 
-from flowloom.llm import neardup
+import numpy as np
+
+from flowloom.llm import neardup, sketch
 from flowloom.llm.minhash_dedup import drop_near_duplicates, near_duplicates
 from flowloom.llm.neardup import Similarity
 
@@ -77,3 +79,25 @@ def test_drop_keeps_one_of_each_group(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 1), (False, 3), (False, 3), (False, 4), (False, 5), (True, 0)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sets_of_many_arrays():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        words = [rng.integers(0, rng.integers(1, 9), rng.choice([0, 1, 4, 5, 6, 60])).astype(np.uint64) for _ in range(rng.integers(0, 9))]
+        for width in (1, 5):
+            expected = [sketch.distinct_shingles(h, width) for h in words]
+            assert [s.tolist() for s in sketch.sets_of_words(words, width)] == [s.tolist() for s in expected]
+
+
+def test_sketches_estimate_similarity_for_small_sets_too():
+    rng = np.random.default_rng(1)
+    for t in (64, 1024):
+        for n, both in ((4, 3), (40, 30)):
+            agree = []
+            for _ in range(60):
+                pool = rng.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
+                made = sketch.sketches([np.sort(pool[:n]), np.sort(pool[n - both :])], t, seed=2)
+                assert (made != np.iinfo(np.uint64).max).all()
+                agree.append((made[0] == made[1]).mean())
+            assert abs(np.mean(agree) - both / (2 * n - both)) < 0.05
