@@ -69,24 +69,36 @@ class Lookup:
 
 @dataclass
 class Output:
-    """An output of a map: column name to SQL expression, and a filter. is_reject: rows that no plain output took; inner_join_reject: rows without a match."""
+    """An output of a map: column name to SQL expression, and a filter.
+
+    is_reject: rows that no plain output took; inner_join_reject: rows without a
+    match; catch_errors: rows that one of the map's errors holds for, with the
+    error's name in errorMessage behind the columns.
+    """
 
     name: str
     columns: dict[str, str]
     filter: str | None = None
     is_reject: bool = False
     inner_join_reject: bool = False
+    catch_errors: bool = False
 
 
 def _flow(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
-def map_rows(main: DataFrame, name: str, lookups: list[Lookup] = (), outputs: list[Output] = (), variables: dict[str, str] | None = None, main_filter: str | None = None) -> Flows:
+def map_rows(main: DataFrame, name: str, lookups: list[Lookup] = (), outputs: list[Output] = (), variables: dict[str, str] | None = None, main_filter: str | None = None, errors: dict[str, str] | None = None) -> Flows:
     """main (called name) joined with lookups in turn; each output selects SQL expressions over `flow.column` and `Var.name`.
 
     Outputs filter independently, so a row may go to several. Every flow is one
     struct column while rows are joined, which Spark prunes to what is used.
+
+    errors names the SQL conditions over the flows under which variables and outputs
+    can't be computed (`{"no number": "try_cast(m.a as int) is null"}`). Such rows go
+    to the outputs that catch errors and to no other; the first condition that holds
+    gives the name. Without such an output they are gone. Catching outputs can't use
+    variables, and their own expressions must not fail on these rows.
     """
     rows = _flow(main, name)
     rows = rows.where(F.coalesce(F.expr(main_filter), F.lit(False))) if main_filter else rows
@@ -128,13 +140,18 @@ def map_rows(main: DataFrame, name: str, lookups: list[Lookup] = (), outputs: li
             df = df.withColumn("Var", F.struct(*made))
         return df
 
-    rows = with_variables(rows)
+    error = F.coalesce(*[F.when(F.expr(c), F.lit(e)) for e, c in errors.items()]) if errors else F.lit(None).cast("string")
+    # rows are parted below the variables, which are then computed for the others only
+    failed = rows.where(error.isNotNull())
+    rows = with_variables(rows.where(error.isNull()) if errors else rows)
     passes = {o.name: F.coalesce(F.expr(o.filter), F.lit(False)) if o.filter else F.lit(True) for o in outputs}
-    plain = [passes[o.name] for o in outputs if not (o.is_reject or o.inner_join_reject)]
+    plain = [passes[o.name] for o in outputs if not (o.is_reject or o.inner_join_reject or o.catch_errors)]
     out: Flows = {}
     for o in outputs:
         columns = [F.expr(e).alias(c) for c, e in o.columns.items()]
-        if o.inner_join_reject:
+        if o.catch_errors:
+            out[o.name] = failed.where(passes[o.name]).select(*columns, error.alias("errorMessage"))
+        elif o.inner_join_reject:
             sides = [with_variables(m).where(passes[o.name]).select(*columns) for m in missed]
             out[o.name] = functools.reduce(DataFrame.unionByName, sides) if sides else rows.limit(0).select(*columns)
         elif o.is_reject:

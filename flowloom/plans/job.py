@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import time
 from collections.abc import Callable
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from flowloom.errors import ConfigurationError, JobAborted
 
+#: Rows of context variables that come to the driver.
+MOST_CONTEXT = 10_000
+
 Operator = Callable[..., "dict[str, DataFrame] | DataFrame"]
 _CASTS: dict[str, Callable[[str], Any]] = {"id_Integer": int, "id_Long": int, "int": int, "id_Double": float, "id_Float": float, "float": float, "id_Boolean": lambda s: s.lower() == "true", "bool": lambda s: s.lower() == "true"}
 
@@ -71,10 +75,22 @@ class Job:
         self.globals[f"{step}_NB_LINE" + ("" if name == "main" else f"_{name.upper()}")] = rows
         return rows
 
-    def load_context(self, df: DataFrame, new_keys: bool = True) -> int:
-        """Context variables from rows (key, value, perhaps type); the number of keys that were not there before."""
-        rows = df.collect()
+    def load_context(self, df: DataFrame, new_keys: bool = True, name: str = "context", known_must_load: bool = False, most: int = MOST_CONTEXT) -> int:
+        """Context variables from rows (key, value, perhaps type); the number of keys that were not there before.
+
+        new_keys: whether such keys are taken. known_must_load: an error if the context
+        has keys that the rows lack. The globals name_NB_CONTEXT_LOADED,
+        name_KEY_NOT_INCONTEXT and name_KEY_NOT_LOADED have the keys that were set, and
+        names of new and of lacking ones. More than `most` rows are an error.
+        """
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ConfigurationError(f"more than {most} rows of context")
         known = set(self.context)
+        named = {r["key"] for r in rows}
+        lacking = sorted(known - named)
+        if known_must_load and lacking:
+            raise ConfigurationError(f"context keys without a row: {', '.join(lacking)}")
         for r in rows:
             if new_keys or r["key"] in known:
                 cast = _CASTS.get(r["type"] if "type" in r.asDict() else "", lambda s: s)
@@ -82,6 +98,8 @@ class Job:
                     self.context[r["key"]] = cast(r["value"])
                 except (TypeError, ValueError):
                     self.context[r["key"]] = r["value"]
+        loaded = named if new_keys else named & known
+        self.globals |= {f"{name}_NB_CONTEXT_LOADED": len(loaded), f"{name}_KEY_NOT_INCONTEXT": ",".join(sorted(named - known)), f"{name}_KEY_NOT_LOADED": ",".join(lacking)}
         return sum(r["key"] not in known for r in rows)
 
     def set_global(self, key: str, value: Any = None, df: DataFrame | None = None, column: str | None = None, order_by: str | None = None) -> None:
@@ -95,6 +113,13 @@ class Job:
             body(self, row.asDict())
         return count
 
+    def for_each(self, values: list[Any], body: Callable[[Job], None], name: str = "foreach") -> int:
+        """body once for each value, which is in the globals name_CURRENT_VALUE, with its number from 1 in name_CURRENT_ITERATION."""
+        for i, value in enumerate(values, 1):
+            self.globals |= {f"{name}_CURRENT_VALUE": self.resolved(value), f"{name}_CURRENT_ITERATION": i}
+            body(self)
+        return len(values)
+
     def child(self, steps: list[Step], overrides: dict[str, Any] | None = None, depth: int = 0, most: int = 10) -> Job:
         """Another job in the same session with this one's context and some overrides."""
         if depth >= most:
@@ -103,6 +128,12 @@ class Job:
         job.run(steps)
         return job
 
+    def warn(self, message: str, code: int = 0, priority: int = logging.WARNING, name: str = "warn") -> None:
+        """A message in the log and the globals; the job goes on."""
+        message = self.resolved(message)
+        self.globals |= {f"{name}_MESSAGE": message, f"{name}_CODE": code, f"{name}_PRIORITY": priority}
+        logging.getLogger("flowloom").log(priority, "%s (%s)", message, code)
+
     def die(self, message: str, exit_code: int = 1) -> None:
         self.globals |= {"JOB_ERROR_MESSAGE": message, "JOB_EXIT_CODE": exit_code}
         raise JobAborted(message, exit_code)

@@ -208,6 +208,15 @@ def map_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unite(out["large"], out["final"], out["rest"])
 
 
+@query("""select o_orderkey, round(o_totalprice / (o_custkey % 7), 4) ratio, null::varchar "errorMessage" from orders where o_custkey % 7 <> 0
+  union all select o_orderkey, null, case when o_custkey % 14 = 0 then 'no share' else 'no ratio' end from orders where o_custkey % 7 = 0""")
+def map_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = [Output("main", {"o_orderkey": "o.o_orderkey", "ratio": "round(Var.ratio, 4)"}), Output("caught", {"o_orderkey": "o.o_orderkey"}, catch_errors=True)]
+    errors = {"no share": "o.o_custkey % 14 = 0", "no ratio": "o.o_custkey % 7 = 0"}
+    out = joins.map_rows(_t(spark, sf_dir, "orders"), "o", outputs=outputs, variables={"ratio": "o.o_totalprice / (o.o_custkey % 7)"}, errors=errors)
+    return out["main"].unionByName(out["caught"], allowMissingColumns=True)
+
+
 @query("""select l_returnflag, l_linestatus, count(*) n, count(distinct l_suppkey) suppliers, sum(cast(l_extendedprice as decimal(38,4)))::double total, round(avg(l_quantity), 6) mean_quantity,
   min(l_shipdate) first_ship, max(l_shipdate) last_ship, round(stddev_samp(l_discount), 8) sd, round(stddev_pop(l_discount), 8) sd_pop, round(var_samp(l_tax), 8) variance, median(l_quantity) med
   from lineitem group by l_returnflag, l_linestatus""")

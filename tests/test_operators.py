@@ -166,6 +166,35 @@ def test_job_context_and_globals(spark):
         job.die("stop", 4)
 
 
+def test_context_keys_each_value_and_warning(spark):
+    job = Job(spark, {"a": "1", "b": "2"})
+    rows = spark.createDataFrame([("a", "5"), ("c", "6")], "key string, value string")
+    assert job.load_context(rows, new_keys=False, name="load") == 1
+    assert job.context == {"a": "5", "b": "2"}
+    assert (job.globals["load_NB_CONTEXT_LOADED"], job.globals["load_KEY_NOT_INCONTEXT"], job.globals["load_KEY_NOT_LOADED"]) == (1, "c", "b")
+    with pytest.raises(ConfigurationError):
+        job.load_context(rows, known_must_load=True)
+    with pytest.raises(ConfigurationError):
+        job.load_context(rows, most=1)
+    seen = []
+    assert job.for_each(["x", "${context.a}"], lambda j: seen.append((j.globals["foreach_CURRENT_ITERATION"], j.globals["foreach_CURRENT_VALUE"]))) == 2
+    assert seen == [(1, "x"), (2, "5")]
+    job.warn("a is ${context.a}", 7)
+    assert (job.globals["warn_MESSAGE"], job.globals["warn_CODE"]) == ("a is 5", 7)
+
+
+def test_map_errors_keep_failing_rows_apart(spark):
+    main = spark.createDataFrame([(1, "4"), (2, "x"), (3, None), (4, "0")], "id int, v string")
+    outputs = [Output("main", {"id": "m.id", "inverse": "8 / Var.v"}), Output("rest", {"id": "m.id"}, is_reject=True), Output("caught", {"id": "m.id", "v": "m.v"}, catch_errors=True)]
+    errors = {"no number": "m.v is not null and try_cast(m.v as int) is null", "zero": "try_cast(m.v as int) = 0"}
+    out = joins.map_rows(main, "m", outputs=outputs, variables={"v": "cast(m.v as int)"}, errors=errors)
+    assert sorted(map(tuple, out["main"].collect())) == [(1, 2.0), (3, None)]
+    assert out["rest"].count() == 0
+    assert sorted(map(tuple, out["caught"].collect())) == [(2, "x", "no number"), (4, "0", "zero")]
+    bare = joins.map_rows(main, "m", outputs=outputs[1:], variables={"v": "1"})
+    assert bare["caught"].count() == 0 and bare["rest"].count() == 4
+
+
 def test_stream_batches(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (5, "b")], "n int, s string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("n int, s string").parquet(str(tmp_path / "in"))
