@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.anchored import Strings, repeated_strings
 from flowloom.llm.common import Scratch, of_ids, unused
 from flowloom.llm.neardup import Similarity, link_keyed
-from flowloom.llm.sketch import band_keys, placed_words, run_hashes, sets_of_words, sketches, word_hashes
+from flowloom.llm.sketch import band_keys, run_hashes, sets_of_words, sketches, word_hashes, word_places
 
 #: 21 bands of 3: paragraphs at a similarity of 0.75 are missed with a probability of 1e-5.
 HOW = Similarity(coordinates=64, rows=3)
@@ -135,10 +135,9 @@ def _passages(docs: DataFrame, least: int, how: Similarity, scratch: Scratch) ->
     """(k, id, start, stop, words, first) of all that is to go, in characters, disjoint within a document."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in (b.iloc[at : at + 256] for b in batches for at in range(0, len(b), 256)):
             out = []
-            for k, doc, text, spans in zip(x["k"].tolist(), x["id"].array, x["text"], x["spans"], strict=True):
-                begin, end, _ = placed_words(text)
+            for k, doc, (begin, end), spans in zip(x["k"].tolist(), x["id"].array, word_places(x["text"].tolist()), x["spans"], strict=True):
                 merged: list[list[int]] = []
                 for a, b, first in sorted((s["start"], s["stop"], s["first"]) for s in spans):
                     if merged and a < merged[-1][1]:

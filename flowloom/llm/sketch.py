@@ -75,19 +75,45 @@ def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, h
 
 
-def placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first character of each word of text, the one behind its last, and the hashes of word_hashes."""
-    found, chars = [], 0
-    data = text.encode("utf-8", "replace")
-    for piece in _pieces(data):
-        starts, h = _hash_words(piece)
-        raw = np.frombuffer(piece, np.uint8)
-        # bytes that begin a character, up to each byte
-        at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[raw], [False])).astype(np.int8)))
-        found.append((at[starts] + chars, at[edge[1::2]] + chars, h))
-        chars += at[-1]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def word_places(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the first character of each of its words (see word_hashes) and the one behind its last."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    group: list[bytes] = []
+
+    def places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words start and end in bytes, and the characters that begin before each byte."""
+        raw = np.frombuffer(data, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw], [True]))))
+        return edge[::2], edge[1::2], np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+
+    def flush() -> None:
+        starts, ends, chars = places(b"\n".join(group))
+        stops = np.cumsum([len(x) + 1 for x in group])
+        cuts = [0, *np.searchsorted(starts, stops).tolist()]
+        for x, stop, a, b in zip(group, stops.tolist(), cuts, cuts[1:], strict=False):
+            first = chars[stop - len(x) - 1]
+            out.append((chars[starts[a:b]] - first, chars[ends[a:b]] - first))
+        group.clear()
+
+    held = 0
+    for text in texts:
+        data = text.encode("utf-8", "replace")
+        if group and held + len(data) > PIECE:
+            flush()
+            held = 0
+        if len(data) > PIECE:
+            found, before = [], 0
+            for piece in _pieces(data):
+                starts, ends, chars = places(piece)
+                found.append((chars[starts] + before, chars[ends] + before))
+                before += chars[-1]
+            out.append(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+        else:
+            group.append(data)
+            held += len(data) + 1
+    if group:
+        flush()
+    return out
 
 
 def run_hashes(x: np.ndarray, n: int, step: int = 1) -> np.ndarray:
