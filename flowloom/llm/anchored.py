@@ -27,6 +27,11 @@ CHUNK, BATCH = 1 << 16, 40_000
 PARTS = 3
 
 
+def digest(data: bytes, off: int) -> bytes:
+    """128 bits that stand for a context and where its anchor is in it; a cryptographic hash, so equal ones mean equal contexts."""
+    return hashlib.blake2b(data, digest_size=16, person=off.to_bytes(8, "little")).digest()
+
+
 @dataclass(frozen=True)
 class Strings:
     """Which strings: `length` symbols with anchors of `gram` symbols; across: only what two owners have counts as repeated.
@@ -34,7 +39,8 @@ class Strings:
     symbols: texts to arrays of bytes (uint8) or numbers (uint64). classes: contexts to
     (context, place, class) of all strings in them; strings are equal if their classes are.
     plain: which strings of an array take part (None: all). held: contexts in a group that one task
-    compares, about 3 MB of text for strings of 400 bytes.
+    compares, about 3 MB of text for strings of 400 bytes. digest: 128 bits that stand for a context and the
+    anchor's place in it; a plain hash serves where symbols are hashes themselves.
     """
 
     length: int
@@ -44,6 +50,7 @@ class Strings:
     classes: Callable[[list[np.ndarray], int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     plain: Callable[[np.ndarray, int], np.ndarray] | None = None
     held: int = 4000
+    digest: Callable[[bytes, int], bytes] = digest
 
     @property
     def reach(self) -> int:
@@ -110,11 +117,6 @@ def anchor_places(texts: list[np.ndarray], what: Strings) -> tuple[np.ndarray, n
     return text[once], place[once], h[once]
 
 
-def digest(data: bytes, off: int) -> bytes:
-    """128 bits that stand for a context and where its anchor is in it; a cryptographic hash, so equal ones mean equal contexts."""
-    return hashlib.blake2b(data, digest_size=16, person=off.to_bytes(8, "little")).digest()
-
-
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
@@ -135,7 +137,7 @@ def _seen(docs: DataFrame, what: Strings) -> DataFrame:
                 stop = np.minimum(pos + what.length, np.array([len(t) for t in texts])[text])
                 raw = [t.tobytes() for t in texts]
                 wide = texts[0].itemsize
-                c1, c2 = _halves([digest(raw[t][(p - o) * wide : s * wide], o) for t, p, o, s in zip(text.tolist(), pos.tolist(), off.tolist(), stop.tolist(), strict=True)])
+                c1, c2 = _halves([what.digest(raw[t][(p - o) * wide : s * wide], o) for t, p, o, s in zip(text.tolist(), pos.tolist(), off.tolist(), stop.tolist(), strict=True)])
                 yield pd.DataFrame({
                     "k": part["k"].to_numpy(np.int64)[text], "owner": part["owner"].to_numpy(np.int64)[text], "pos": pos, "anchor": anchor,
                     "c1": c1, "c2": c2, "off": off, "size": stop - pos + off,
@@ -257,7 +259,7 @@ def _dealt_again(items: DataFrame, what: Strings) -> DataFrame:
                         core = data[(off - a) * wide : (off - b + what.length) * wide]
                         begin = max(off - b, 0)
                         slice_ = data[begin * wide : min(off - a + what.length, size) * wide]
-                        digests.append(digest(slice_, off - begin))
+                        digests.append(what.digest(slice_, off - begin))
                         grp = xxhash.xxh3_64_intdigest(core, seed=(r.grp ^ (a << 20) ^ b) & ((1 << 64) - 1)) - (1 << 63)
                         out.append((grp, r.copies, r.lo, r.hi, a, b, off - begin, slice_, r.grp, r.c1, r.c2))
                 made = pd.DataFrame(out, columns=["grp", "copies", "lo", "hi", "lo_o", "hi_o", "off", "data", "up", "up1", "up2"])
